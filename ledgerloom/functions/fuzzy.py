@@ -7,9 +7,10 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio ``2 M / (|a| + |b|)`` of trimmed texts, batch by batch."""
     return pd.Series([difflib.SequenceMatcher(None, x.strip(), y.strip()).ratio() for x, y in zip(a, b)])

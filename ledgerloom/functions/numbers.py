@@ -26,12 +26,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+PAREN = r"(?s)^\((.*)\)$"
+
+
 def _in_parens(c: Column) -> Column:
     return c.startswith("(") & c.endswith(")")
 
 
-def _inner(c: Column) -> Column:
-    return c.substr(F.lit(2), F.greatest(F.length(c) - 2, F.lit(0)))
+def _unbracket(c: Column) -> Column:
+    return F.regexp_replace(c, PAREN, "$1")
 
 
 def _signed(value: Column, negative: Column) -> Column:
@@ -46,23 +49,19 @@ def parse_source_amount(text) -> Column:
     """Won marks dropped, blanks and dashes zero, ``(x)`` and ``-x`` negative; empty is NULL."""
     text = _col(text)
     t = strip(_drop(text, BACKSLASH + "₩"))
-    paren, minus = _in_parens(t), t.startswith("-")
-    body = F.when(paren, strip(_inner(t))).when(minus, strip(F.substring(t, 2, 1_000_000))).otherwise(t)
-    body = _drop(body, ",")
-    plain = body.contains(".") | body.rlike(r"^\s*[+-]?[0-9]+\s*$")
+    body = _drop(strip(F.regexp_replace(t, PAREN + "|^-", "$1")), ",")
     return (
         F.when(text.isNull() | (text == ""), None)
         .when(t.isin("", *DASHES), F.lit(0).cast(AMOUNT))
-        .when(plain, _signed(body.try_cast(AMOUNT), paren | minus))
+        .when(body.rlike(r"\.|^\s*[+-]?[0-9]+\s*$"), _signed(body.try_cast(AMOUNT), t.rlike(PAREN + "|^-")))
     )
 
 
 def _parse_loose(text, zeros: tuple[str, ...]) -> Column:
     t = strip(_col(text))
-    paren = _in_parens(t)
-    body = F.regexp_replace(F.when(paren, _inner(t)).otherwise(t), CURRENCY_OR_SPACE, "")
+    body = F.regexp_replace(_unbracket(t), CURRENCY_OR_SPACE, "")
     return F.when(t.isin(*zeros) | (body == ""), F.lit(0).cast(AMOUNT)).otherwise(
-        _signed(body.try_cast(AMOUNT), paren)
+        _signed(body.try_cast(AMOUNT), _in_parens(t))
     )
 
 
@@ -78,19 +77,13 @@ def parse_cell_number_or_placeholder(text) -> Column:
 
 def _parse_whole(text, drop_leading_backslash: bool) -> Column:
     t = strip(_col(text))
-    paren = _in_parens(t)
-    u = F.when(paren, _inner(t)).otherwise(t)
-    tri = u.startswith("△") | u.startswith("▲")
-    u = _drop(F.when(tri, F.substring(u, 2, 1_000_000)).otherwise(u), ", \u00a0")
+    u = _drop(F.regexp_replace(_unbracket(t), "^[△▲]", ""), ", \u00a0")
     if drop_leading_backslash:
         u = strip(F.regexp_replace(u, r"^\\+", ""))
-    minus = u.startswith("-")
-    u = F.when(minus, F.substring(u, 2, 1_000_000)).otherwise(u)
-    v = u.try_cast(AMOUNT)
-    whole = F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast(WHOLE)
-    return F.when(t.isin("", *DASHES, BACKSLASH, "/"), F.lit(0).cast(WHOLE)).otherwise(
-        _signed(whole, paren | tri | minus)
-    )
+    negative = t.rlike(r"(?s)^\(.*\)$|^[△▲]") | u.startswith("-")
+    v = F.regexp_replace(u, "^-", "").try_cast(AMOUNT)
+    whole = F.when(negative, -F.floor(v)).otherwise(F.floor(v)).cast(WHOLE)
+    return F.when(t.isin("", *DASHES, BACKSLASH, "/"), F.lit(0).cast(WHOLE)).otherwise(whole)
 
 
 def parse_whole(text) -> Column:
@@ -106,29 +99,24 @@ def parse_whole_strict(text) -> Column:
 def number_signature(text) -> Column:
     """Normalised number string used as a join key; anything but digits, dot, minus is dropped."""
     t = strip(_col(text))
-    paren = _in_parens(t)
-    digits = F.regexp_replace(F.when(paren, _inner(t)).otherwise(t), r"[^0-9.\-]", "")
-    v = digits.try_cast(AMOUNT)
-    v = _signed(v, paren)
-    shown = F.regexp_replace(F.regexp_replace(v.cast("string"), r"0+$", ""), r"\.$", "")
+    digits = F.regexp_replace(_unbracket(t), r"[^0-9.\-]", "")
+    v = _signed(digits.try_cast(AMOUNT), _in_parens(t))
+    shown = F.regexp_replace(v.cast("string"), r"\.?0+$", "")
     return F.when(t.isin("", *DASHES) | (digits == ""), None).otherwise(shown)
 
 
 def _parse_report(text, percent: str) -> Column:
     text = _col(text)
     t = strip(_drop(text, BACKSLASH + "₩"))
-    paren = _in_parens(t)
-    rest = _drop(strip(F.substring(t, 2, 1_000_000)), ",")
-    minus = t.startswith("-") & rest.rlike(r"^[0-9.]*[0-9][0-9.]*$")
-    body = _drop(F.when(paren, strip(_inner(t))).when(minus, rest).otherwise(t), ",")
-    plain = body.contains(".") | body.rlike(r"^\s*[+-]?[0-9]+\s*$")
+    minus = r"^-(?=\s*[0-9.,]*[0-9][0-9.,]*$)"
+    body = _drop(strip(F.regexp_replace(t, PAREN + "|" + minus, "$1")), ",")
     pct = _drop(strip(_drop(t, "%")), ",").try_cast(AMOUNT) if percent == "value" else F.lit(None).cast(AMOUNT)
     return (
         F.when(text.isNull() | (text == ""), None)
         .when(t.isin("", *DASHES), F.lit(0).cast(AMOUNT))
         .when(t.contains("%"), pct)
         .when(t.rlike(r"^[A-Za-z\s]+$"), None)
-        .when(plain, _signed(body.try_cast(AMOUNT), paren | minus))
+        .when(body.rlike(r"\.|^\s*[+-]?[0-9]+\s*$"), _signed(body.try_cast(AMOUNT), t.rlike(PAREN + "|" + minus)))
     )
 
 
@@ -164,7 +152,7 @@ def is_amount_cell(text) -> Column:
 def is_template_number(text) -> Column:
     """Template number test: dash yes, blank no, one decimal point at most."""
     t = strip(_drop(_col(text), "," + BACKSLASH + "₩"))
-    body = F.when(_in_parens(t), strip(_inner(t))).otherwise(t)
+    body = strip(_unbracket(t))
     return t.isin(*DASHES) | ((t != "") & body.rlike(r"^-*([0-9]+\.?[0-9]*|\.[0-9]+)$"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,30 +88,34 @@ def containment(a: Column, b: Column, base: float, weight: float) -> Column:
     return F.when(a.contains(b) | b.contains(a), base + weight * (F.least(la, lb) / F.greatest(la, lb)))
 
 
-def label_similarity(a, b, a_in_english=None, b_in_english=None) -> Column:
-    """Similarity of two row labels in [0, 1].
+def with_label_similarity(df: DataFrame, a: str, b: str, out: str, read_a: str | None = None, read_b: str | None = None) -> DataFrame:
+    """Add the similarity in [0, 1] of the row labels ``a`` and ``b`` as ``out``.
 
-    ``*_in_english`` is the dictionary reading of a Korean label (NULL if none);
-    it lets a Korean label meet an English one.
+    ``read_*`` names the column with the dictionary reading of a Korean label
+    (NULL if none); it lets a Korean label meet an English one.
     """
-    a, b = _col(a), _col(b)
-    na, nb = normalize_label(a), normalize_label(b)
-    out = F.when((na == "") | (nb == "") | na.isNull() | nb.isNull(), 0.0).when(na == nb, 1.0)
-    same = containment(na, nb, 0.7, 0.3)
+    tmp = {"_na": normalize_label(a), "_nb": normalize_label(b)}
+    for name, read in (("_ra", read_a), ("_rb", read_b)):
+        if read:
+            tmp[name] = normalize_label(read)
+    df = df.withColumns(tmp)
+    df = df.withColumns({k.replace("_", "_t"): label_tokens(k) for k in tmp})
+    na, nb = F.col("_na"), F.col("_nb")
     cross = F.lit(None).cast("double")
-    for ko, en, read in ((a, b, a_in_english), (b, a, b_in_english)):
-        if read is None:
+    for ko, en, read, e in ((a, b, "_ra", "_nb"), (b, a, "_rb", "_na")):
+        if read not in tmp:
             continue
-        t, e = normalize_label(_col(read)), normalize_label(en)
-        j = jaccard(label_tokens(t), label_tokens(e))
-        sim = (
-            F.when(t == e, 0.95)
-            .when(containment(t, e, 0.7, 0.25).isNotNull(), containment(t, e, 0.7, 0.25))
-            .when(j >= 0.3, 0.6 + 0.3 * j)
-        )
+        t, e = F.col(read), F.col(e)
+        j = jaccard(F.col(read.replace("_", "_t")), F.col("_tnb" if ko == a else "_tna"))
+        sim = F.when(t == e, 0.95).otherwise(F.coalesce(containment(t, e, 0.7, 0.25), F.when(j >= 0.3, 0.6 + 0.3 * j)))
         usable = is_korean(ko) & ~is_korean(en) & (t != "") & (e != "")
         cross = F.coalesce(cross, F.when(usable, sim))
-    return out.otherwise(F.coalesce(same, cross, jaccard(label_tokens(na), label_tokens(nb))))
+    known = (
+        F.when((na == "") | (nb == "") | na.isNull() | nb.isNull(), 0.0)
+        .when(na == nb, 1.0)
+        .otherwise(F.coalesce(containment(na, nb, 0.7, 0.3), cross, jaccard(F.col("_tna"), F.col("_tnb"))))
+    )
+    return df.withColumn(out, known).drop(*tmp, *[k.replace("_", "_t") for k in tmp])
 
 
 def note_numbering(c) -> Column:
@@ -229,11 +233,9 @@ def json_list(c) -> Column:
     t = strip(c)
     arr = T.ArrayType(T.StringType())
     fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1)
-    lines = F.filter(
-        F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(
-            F.regexp_replace(strip(x), r"^[\"']+|[\"']+,?$|,$", ""), r"^[0-9]+\.\s*(?=.)", "")),
-        lambda x: x != "",
-    )
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(strip(x), '^"+|"+$', ""), "^'+|'+$", ""), ",+$", "")
+    lines = F.filter(F.split(t, "\n"), lambda x: strip(x) != "")
+    lines = F.transform(lines, lambda x: F.regexp_replace(bare(x), r"^[0-9]+\.\s*(?=.)", ""))
     return (
         F.when(fenced != "", F.from_json(fenced, arr))
         .when(t.startswith("["), F.from_json(t, arr))

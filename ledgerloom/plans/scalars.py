@@ -301,7 +301,7 @@ SELECT src_label, tpl_label, {label_sim('src_label', 'tpl_label', 'en')} AS sim
 FROM (SELECT DISTINCT src_label, tpl_label FROM row_pairs) q LEFT JOIN terms ON terms.ko = q.src_label""")
 def _s35(rows, terms):
     pairs = rows.select("src_label", "tpl_label").distinct().join(terms, F.col("src_label") == F.col("ko"), "left")
-    return pairs.select("src_label", "tpl_label", tx.label_similarity("src_label", "tpl_label", F.col("en")).alias("sim"))
+    return tx.with_label_similarity(pairs, "src_label", "tpl_label", "sim", read_a="en").select("src_label", "tpl_label", "sim")
 
 
 @query("s37_sequence_ratio", ["row_pairs"])
@@ -379,8 +379,8 @@ def _answers(convs):
 
 
 @query("s43_json_list", ["convs"], r"""
-SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN w || '|b' WHEN 1 THEN w WHEN 2 THEN w || '|two' END AS items,
-  CASE turn % 4 WHEN 0 THEN w || '|b|?' WHEN 1 THEN w || '|?|?' WHEN 2 THEN w || '|two|?' ELSE '?|?|?' END AS three
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN w || '|b' WHEN 1 THEN w WHEN 2 THEN rtrim(w, ',') || '|two' END AS items,
+  CASE turn % 4 WHEN 0 THEN w || '|b|?' WHEN 1 THEN w || '|?|?' WHEN 2 THEN rtrim(w, ',') || '|two|?' ELSE '?|?|?' END AS three
 FROM (SELECT conv_id, turn, regexp_extract(text, '^([^\s"\\]*)', 1) AS w FROM convs) q""")
 def _s43(convs):
     t = _answers(convs).withColumn("list", tx.json_list("answer"))

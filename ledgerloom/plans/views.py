@@ -137,6 +137,14 @@ SELECT pair_id, note_no, note_seq, src_row, tpl_table, tpl_row, src_label, tpl_l
 FROM (SELECT row_pairs.*, CASE WHEN pair_id % 4 = 0 AND note_no = 'ECONOMY' THEN 0
         ELSE (pair_id * 7 + tpl_row * 3 + note_seq) % 11 END AS f FROM row_pairs) x"""
 
+# source cells as they came out: some blanked, some off by one (tolerated) or five
+VIEWS["out_cells"] = """
+SELECT pair_id, note_no, row_idx, c AS col_idx,
+       CASE WHEN c = 0 THEN label WHEN row_idx % 7 = 3 OR a IS NULL THEN ''
+            WHEN row_idx % 11 = 5 THEN [[fmt a + 5]] WHEN row_idx % 5 = 2 THEN [[fmt a + 1]] ELSE [[fmt a]] END AS text
+FROM (SELECT pair_id, note_no, row_idx, c, label, CASE WHEN c = 1 THEN cur_amt ELSE pri_amt END AS a
+      FROM src_rows [[explode c 0 1 2]]) x"""
+
 # notes of both sides; in some pairs the template is numbered backwards or titled differently
 VIEWS["src_notes"] = """
 SELECT pair_id, note_no AS note_id, note_seq,
@@ -178,14 +186,25 @@ FROM documents"""
 # paragraphs with numbering and unit markers
 VIEWS["doc_lines"] = """
 SELECT doc_id, CAST(seq AS BIGINT) AS seq,
-       CASE WHEN seq % 5 = 0 THEN 'ABCTitle' WHEN seq % 4 = 1 THEN 'aff5' ELSE 'Normal' END AS style,
-       CASE WHEN seq % 5 = 0 THEN CONCAT(CAST(FLOOR(seq / 5) AS BIGINT) + 1, '. ', line)
+       CASE WHEN (seq + doc_id) % 5 = 0 THEN 'ABCTitle' WHEN seq % 4 = 1 THEN 'aff5' ELSE 'Normal' END AS style,
+       CASE WHEN (seq + doc_id) % 5 = 0 THEN CONCAT(CAST(FLOOR((seq + doc_id % 5) / 5) AS BIGINT) + 1, '. ', line)
             WHEN seq % 7 = 0 THEN CONCAT('(단위 : 천원) ', line)
             WHEN seq % 11 = 0 THEN CONCAT('(', seq, ') ', line)
             WHEN seq % 13 = 0 THEN CONCAT('⑫ ', line)
             WHEN seq % 17 = 0 THEN '   ' ELSE line END AS text
 FROM [[doclines]]"""
 
+# template paragraphs with company, type and period sentences
+VIEWS["tpl_lines"] = """
+SELECT doc_id, seq, style,
+       CASE WHEN seq = 2 AND doc_id % 3 = 0 THEN CONCAT('Group ', doc_id, ' Co., Ltd. and its subsidiaries')
+            WHEN seq = 3 AND doc_id % 2 = 0 THEN 'Consolidated financial statements'
+            WHEN seq = 4 AND doc_id % 4 < 3 THEN CONCAT('As of December 31, ', 2020 + doc_id % 4, ' and ', 2019 + doc_id % 4)
+            WHEN seq = 4 THEN 'Events of 2017 and 2018' WHEN seq = 5 THEN 'The above statements should be read in conjunction with the notes.'
+            ELSE text END AS text,
+       CONCAT('Firm', doc_id, '_2024 report.docx') AS file_name
+FROM doc_lines"""
+
 # elements of raw pages: one row per tag, in document order
 VIEWS["page_elems"] = """
 SELECT page_id, seq, LOWER([[re_extract piece ^(/?[A-Za-z0-9]+) 1]]) AS tag,
