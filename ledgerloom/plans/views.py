@@ -129,12 +129,13 @@ FROM src_rows s JOIN tpl_base t
 VIEWS["filled"] = """
 SELECT pair_id, note_no, note_seq, src_row, tpl_table, tpl_row, src_label, tpl_label, is_total, exp_cur, exp_pri,
        CASE f WHEN 0 THEN CASE WHEN exp_pri IS NULL THEN '-' ELSE [[fmt exp_pri]] END
-              WHEN 1 THEN '' WHEN 2 THEN CONCAT('(', [[fmt exp_cur]], ')')
+              WHEN 1 THEN '' WHEN -1 THEN '-' WHEN 2 THEN CONCAT('(', [[fmt exp_cur]], ')')
               WHEN 3 THEN [[fmt exp_cur * 1000]] WHEN 4 THEN [[fmt COALESCE(exp_pri, 77)]]
               ELSE CASE WHEN exp_cur IS NULL THEN '-' ELSE [[fmt exp_cur]] END END AS cur_text,
        CASE f WHEN 0 THEN CASE WHEN exp_cur IS NULL THEN '-' ELSE [[fmt exp_cur]] END
               ELSE CASE WHEN exp_pri IS NULL THEN '-' ELSE [[fmt exp_pri]] END END AS pri_text
 FROM (SELECT row_pairs.*, CASE WHEN pair_id % 4 = 0 AND note_no = 'ECONOMY' THEN 0
+        WHEN exp_cur IS NULL AND (pair_id * 7 + tpl_row * 3 + note_seq) % 11 IN (2, 3) THEN -1
         ELSE (pair_id * 7 + tpl_row * 3 + note_seq) % 11 END AS f FROM row_pairs) x"""
 
 # source cells as they came out: some blanked, some off by one (tolerated) or five
