@@ -81,9 +81,9 @@ def _parse_whole(text, drop_leading_backslash: bool) -> Column:
     if drop_leading_backslash:
         u = strip(F.regexp_replace(u, r"^\\+", ""))
     negative = t.rlike(r"(?s)^\(.*\)$|^[△▲]") | u.startswith("-")
-    v = F.regexp_replace(u, "^-", "").try_cast(AMOUNT)
-    whole = F.when(negative, -F.floor(v)).otherwise(F.floor(v)).cast(WHOLE)
-    return F.when(t.isin("", *DASHES, BACKSLASH, "/"), F.lit(0).cast(WHOLE)).otherwise(whole)
+    v = F.floor(F.regexp_replace(u, "^-", "").try_cast(AMOUNT)).cast("decimal(30,0)")
+    sign = F.when(negative, -1).otherwise(1).cast("decimal(1,0)")
+    return F.when(t.isin("", *DASHES, BACKSLASH, "/"), F.lit(0).cast(WHOLE)).otherwise((v * sign).cast(WHOLE))
 
 
 def parse_whole(text) -> Column:

@@ -63,8 +63,9 @@ def leftover_rows_by_place(src: DataFrame, tpl: DataFrame, matched: DataFrame, k
 
 def repair_totals(filled: DataFrame) -> DataFrame:
     """Total rows whose shown amount is off by more than one, overwritten.  Rows as in ``verify``."""
-    off = lambda e, t: F.coalesce(F.abs(F.col(e) - parse_whole(t)) > 1, F.lit(False))
-    t = filled.where("is_total").withColumns({"oc": off("exp_cur", "cur_text"), "op": off("exp_pri", "pri_text")})
+    t = filled.where("is_total").withColumns({"vc": parse_whole("cur_text"), "vp": parse_whole("pri_text")})
+    off = lambda e, v: F.coalesce(F.abs(F.col(e) - F.col(v)) > 1, F.lit(False))
+    t = t.withColumns({"oc": off("exp_cur", "vc"), "op": off("exp_pri", "vp")})
     return t.where("oc or op").select(
         *TABLE, "row", F.when(F.col("oc"), format_amount("exp_cur")).otherwise(F.col("cur_text")).alias("cur_text"),
         F.when(F.col("op"), format_amount("exp_pri")).otherwise(F.col("pri_text")).alias("pri_text"))
