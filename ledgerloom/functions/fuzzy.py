@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ledgerloom.session import durable
+
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -35,7 +37,7 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float) -> Dat
     def with_chars(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.trim(F.col(name)).alias(name)).distinct().withColumn("chars", char_counts(F.col(name)))
 
-    a, b = with_chars(left, "a"), with_chars(right, "b")
+    a, b = durable(with_chars(left, "a")), durable(with_chars(right, "b"))
     both = a.select(F.explode("chars").alias("ch")).unionByName(b.select(F.explode("chars").alias("ch")))
     freq = both.groupBy("ch").agg(F.count("*").alias("f"))
     ratio = threshold / (2.0 - threshold)

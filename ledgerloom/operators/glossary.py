@@ -16,6 +16,7 @@ from ledgerloom.functions.fuzzy import best_fuzzy, fuzzy_candidates, sequence_ra
 from ledgerloom.functions.numbers import DASHES, is_amount_cell, is_number_text
 from ledgerloom.functions.text import bare_title, clean_label, is_english, is_korean, normalize_number, strip
 from ledgerloom.operators.labels import contained_pairs
+from ledgerloom.session import durable
 
 # Fixed values
 SOURCES = ["ifrs", "title_map", "title_match", "header_match", "value_match"]  # rising priority
@@ -52,7 +53,7 @@ def contained_either_way(texts: DataFrame, text: str, dictionary: DataFrame) ->
 
 def term_match(texts: DataFrame, text: str, terms: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Exact, then containment either way, then the most similar term: distinct text, ko, en."""
-    held = contained_either_way(texts, text, terms)
+    held = durable(contained_either_way(texts, text, terms))
     rest = texts.select(strip(text).alias("a")).where("a <> ''").distinct().join(held.select(F.col("text").alias("a")), "a", "left_anti")
     return held.unionByName(best_fuzzy(rest, terms, threshold).select(F.col("a").alias("text"), "ko", "en"))
 
@@ -62,7 +63,7 @@ def translate_labels(texts: DataFrame, text: str, glossary: DataFrame, terms: Da
 
     ``model``: optional (ko, en) answers obtained elsewhere.
     """
-    t = texts.select(strip(text).alias("label")).distinct()
+    t = durable(texts.select(strip(text).alias("label")).distinct())
     open_ = is_korean("label") & ~is_number_text("label")
     need = t.where(open_)
     r = lookup(need, "label", glossary, "g1")
@@ -79,7 +80,7 @@ def translate_labels(texts: DataFrame, text: str, glossary: DataFrame, terms: Da
 
 def translate_paragraphs(texts: DataFrame, text: str, glossary: DataFrame, terms: DataFrame) -> DataFrame:
     """Paragraphs in English: short ones exactly, longer ones only by an entry that covers 70 % of them."""
-    t = texts.select(strip(text).alias("paragraph")).distinct()
+    t = durable(texts.select(strip(text).alias("paragraph")).distinct())
     need = t.where(is_korean("paragraph"))
     r = lookup(need, "paragraph", glossary, "g1")
     r = lookup(r, "paragraph", terms, "t1")
@@ -92,7 +93,7 @@ def translate_paragraphs(texts: DataFrame, text: str, glossary: DataFrame, terms
 
 def translate_titles(texts: DataFrame, text: str, glossary: DataFrame, terms: DataFrame) -> DataFrame:
     """Note titles in English, with and without their number, then in part."""
-    t = texts.select(strip(text).alias("title")).distinct()
+    t = durable(texts.select(strip(text).alias("title")).distinct())
     r = t.where(is_korean("title")).withColumn("bare", bare_title("title"))
     for src, name in ((glossary, "g"), (terms, "t")):
         r = lookup(r, "bare", src, name + "b")
@@ -121,8 +122,9 @@ def translate_changes(changes: DataFrame, keys: list[str], glossary: DataFrame,
 
 def translate_in_tiers(texts: DataFrame, text: str, prior: DataFrame, terms: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Distinct texts with translation and tier: date, exact, ifrs, adjust (a similar prior text), ifrs again, new."""
-    t = texts.select(strip(text).alias("a")).where("a <> ''").distinct()
+    t = durable(texts.select(strip(text).alias("a")).where("a <> ''").distinct())
     r = lookup(t, "a", prior, "exact").withColumn("date", translate_date("a"))
+    r = durable(r)
     rest = r.where("exact is null and date is null").select("a")
     term = term_match(rest, "a", terms).withColumnRenamed("text", "a")
     # certainty of a term is measured against its first key
@@ -138,10 +140,11 @@ def translate_in_tiers(texts: DataFrame, text: str, prior: DataFrame, terms: Dat
 
 def prior_translation(texts: DataFrame, text: str, glossary: DataFrame, terms: DataFrame) -> DataFrame:
     """Earlier translation of each distinct text with its source."""
-    t = texts.select(strip(text).alias("a")).where("a <> ''").distinct()
+    t = durable(texts.select(strip(text).alias("a")).where("a <> ''").distinct())
     r = lookup(t, "a", glossary, "exact").withColumn("date", translate_date("a"))
+    r = durable(r)
     rest = r.where("exact is null and date is null").select("a")
-    near = best_fuzzy(rest, glossary, 0.6).select("a", F.col("en").alias("near"))
+    near = durable(best_fuzzy(rest, glossary, 0.6).select("a", F.col("en").alias("near")))
     far = term_match(rest.join(near.select("a"), "a", "left_anti"), "a", terms).select(F.col("text").alias("a"), F.col("en").alias("term"))
     r = r.join(near, "a", "left").join(far, "a", "left")
     source = (F.when(F.col("date").isNotNull(), "date conversion").when(F.col("exact").isNotNull(), "glossary (exact)").when(F.col("near").isNotNull(), "glossary (fuzzy)")
