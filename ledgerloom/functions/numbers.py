@@ -34,7 +34,7 @@ def _in_parens(c: Column) -> Column:
 
 
 def _unbracket(c: Column) -> Column:
-    return F.regexp_replace(c, PAREN, "$1")
+    return F.when(_in_parens(c), c.substr(F.lit(2), F.greatest(F.length(c) - 2, F.lit(0)))).otherwise(c)
 
 
 def _signed(value: Column, negative: Column) -> Column:
@@ -79,7 +79,7 @@ def _parse_whole(text, drop_leading_backslash: bool) -> Column:
     t = strip(_col(text))
     u = _drop(F.regexp_replace(_unbracket(t), "^[△▲]", ""), ", \u00a0")
     if drop_leading_backslash:
-        u = strip(F.regexp_replace(u, r"^\\+", ""))
+        u = strip(F.ltrim(u, F.lit(BACKSLASH)))
     negative = t.rlike(r"(?s)^\(.*\)$|^[△▲]") | u.startswith("-")
     v = F.floor(F.regexp_replace(u, "^-", "").try_cast(AMOUNT)).cast("decimal(30,0)")
     sign = F.when(negative, -1).otherwise(1).cast("decimal(1,0)")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 # Fixed values
 SPACE = "[\\s\u00a0\u3000]"
+BLANKS = " \t\n\r\x0b\x0c\u00a0\u3000"
 KOREAN = r"[가-힯㄰-㆏]"
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 KOREAN_LETTERS = "가나다라마바사아자차카타파하"
@@ -20,7 +21,7 @@ def _col(c) -> Column:
 
 def strip(c) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(_col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_col(c), F.lit(BLANKS))
 
 
 def clean_lines(c) -> Column:

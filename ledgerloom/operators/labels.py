@@ -13,23 +13,26 @@ from pyspark.sql import functions as F
 GRAM = 3
 
 
-def grams(text: Column, size: Column | int) -> Column:
-    """Distinct pieces of ``size`` letters."""
-    size = F.lit(size) if isinstance(size, int) else size
-    last = F.length(text) - size + 1
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: text.substr(i, size)))).otherwise(
-        F.array().cast("array<string>")
-    )
+def _letters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda x: x != "")
+
+
+def _grams(letters: Column, size: int) -> Column:
+    """Distinct pieces of ``size`` letters; the text is cut into letters once, so long texts stay linear."""
+    piece = lambda x, i: F.concat(x, *[F.coalesce(F.get(letters, i + k), F.lit("")) for k in range(1, size)])
+    pieces = F.transform(letters, piece) if size > 1 else letters
+    return F.array_distinct(F.slice(pieces, 1, F.greatest(F.size(letters) - size + 1, F.lit(0))))
 
 
 def contained_pairs(inner: DataFrame, outer: DataFrame, keys: list[str], inner_text: str, outer_text: str) -> DataFrame:
     """Distinct ``keys + [inner_text, outer_text]`` with the inner text inside the outer one."""
     i = inner.select(*keys, inner_text).where(F.col(inner_text) != "").distinct()
     o = outer.select(*keys, outer_text).where(F.col(outer_text) != "").distinct()
-    t = F.col(outer_text)
-    spread = o.select(*keys, outer_text, F.explode(F.flatten(F.array(*[grams(t, g) for g in range(1, GRAM + 1)]))).alias("gram"))
+    o = o.withColumn("_c", _letters(F.col(outer_text)))
+    spread = o.select(*keys, outer_text, F.explode(F.flatten(F.array(*[_grams(F.col("_c"), g) for g in range(1, GRAM + 1)]))).alias("gram"))
     freq = spread.groupBy(*keys, "gram").agg(F.count("*").alias("df"))
-    own = grams(F.col(inner_text), F.least(F.length(inner_text), F.lit(GRAM)))
+    i = i.withColumn("_c", _letters(F.col(inner_text)))
+    own = F.when(F.size("_c") == 1, F.col("_c")).when(F.size("_c") == 2, _grams(F.col("_c"), 2)).otherwise(_grams(F.col("_c"), GRAM))
     # a gram nobody holds rules the text out, so the inner join may drop it only after the minimum
     anchor = (
         i.select(*keys, inner_text, F.explode(own).alias("gram"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import DASHES, format_amount, parse_whole
 from ledgerloom.functions.text import strip
+from ledgerloom.session import durable
 
 EMPTY_MARK = "(빈셀)"
 SHIFT_EXPECTED = "당기→current, 전기→prior"
@@ -86,6 +87,13 @@ def merge_errors(first: DataFrame, again: DataFrame, keys: list[str]) -> DataFra
     return old.unionByName(new)
 
 
+def verify_and_repair(filled: DataFrame, keys: list[str]) -> DataFrame:
+    """Check, repair once, check again: all errors with ``fixed``."""
+    filled = durable(filled)
+    again = durable(repair(filled, keys).drop("fixed"))
+    return merge_errors(find_errors(filled, keys), find_errors(again, keys), keys)
+
+
 def unresolved(errors: DataFrame) -> DataFrame:
     return errors.where("not fixed")
 

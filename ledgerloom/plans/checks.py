@@ -84,8 +84,7 @@ def _v03(f):
 
 
 def _merged(f):
-    filled = _filled(f)
-    return vf.merge_errors(vf.find_errors(filled, K), vf.find_errors(vf.repair(filled, K), K), K)
+    return vf.verify_and_repair(_filled(f), K)
 
 
 @query("v04_reverify", ["filled"], f"SELECT * FROM {MERGED} q")
