@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import numbers as nb
 from ledgerloom.functions import text as tx
 from ledgerloom.operators.sequence import row_position, running_max, running_sum
+from ledgerloom.session import durable
 
 # Fixed values
 SPACER_WIDTH = 200
@@ -45,7 +46,7 @@ def _free_from(carry: Column, col: Column) -> Column:
 def _emit(state: Column, upto: Column) -> tuple[Column, Column]:
     """Cells carried down between the state's column and ``upto``, and the spans left afterwards."""
     inside = lambda x: (x["c"] >= state["col"]) & (x["c"] < upto)
-    sent = F.transform(F.filter(state["carry"], inside), lambda x: F.struct(x["c"].alias("c"), x["t"].alias("t")))
+    sent = F.array_sort(F.transform(F.filter(state["carry"], inside), lambda x: F.struct(x["c"].alias("c"), x["t"].alias("t"))))
     left = F.transform(
         F.filter(state["carry"], lambda x: ~inside(x) | (x["left"] > 1)),
         lambda x: F.struct(x["c"].alias("c"), F.when(inside(x), x["left"] - 1).otherwise(x["left"]).alias("left"), x["t"].alias("t")))
@@ -76,11 +77,23 @@ def _expand_row(carry: Column, cells: Column) -> Column:
     return _let(placed, close)
 
 
+def _fold_rows(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Rows of each group in order, spans opened by one row closed by the next ones."""
+    lists = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("row_idx", "cells"))).alias("rows"))
+    start = F.struct(F.array().cast("array<struct<row_idx:bigint,out:" + CELLS + ">>").alias("done"), F.array().cast(CARRY).alias("carry"))
+    folded = F.aggregate("rows", start, lambda acc, row: _let(
+        _expand_row(acc["carry"], row["cells"]),
+        lambda e: F.struct(F.concat(acc["done"], F.array(F.struct(row["row_idx"].alias("row_idx"), e["out"].alias("out")))).alias("done"), e["carry"].alias("carry"))))
+    return lists.select(*group, folded.alias("f")).select(*group, F.col("f.done").alias("done"), (F.size("f.carry") > 0).alias("open"))
+
+
 def expand_spans(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Column spans repeated as blanks, row spans copied down: one row per grid cell.
 
     ``cells``: keys, row_idx, cell_idx, span, rowspan, text.  A table is cut
-    where no row span crosses, so each fold covers one closed run of rows.
+    where no row span reaches across, so a long table is folded in many runs.
+    A ragged table may leave a span open at a cut; only such tables are folded
+    again in one piece.
     """
     rows = cells.groupBy(*keys, "row_idx").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("cell_idx", "span", "rowspan", "text"))), lambda x: F.struct(
@@ -89,12 +102,13 @@ def expand_spans(cells: DataFrame, keys: list[str]) -> DataFrame:
     rows = row_position(rows, keys, "row_idx", "pos")
     rows = running_max(rows, keys, "row_idx", F.col("pos") + F.col("reach") - 1, "covered")
     rows = running_sum(rows, keys, "row_idx", F.when(F.coalesce("covered", F.lit(0)) < F.col("pos"), 1).otherwise(0), "run")
-    runs = rows.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.struct("row_idx", "cells"))).alias("rows"))
-    start = F.struct(F.array().cast("array<struct<row_idx:bigint,out:" + CELLS + ">>").alias("done"), F.array().cast(CARRY).alias("carry"))
-    folded = F.aggregate("rows", start, lambda acc, row: _let(
-        _expand_row(acc["carry"], row["cells"]),
-        lambda e: F.struct(F.concat(acc["done"], F.array(F.struct(row["row_idx"].alias("row_idx"), e["out"].alias("out")))).alias("done"), e["carry"].alias("carry"))))
-    out = runs.select(*keys, F.explode(folded["done"]).alias("r")).select(*keys, F.col("r.row_idx").alias("row_idx"), F.posexplode("r.out").alias("n", "x"))
+    rows = durable(rows.select(*keys, "run", "row_idx", "cells"))
+    runs = durable(_fold_rows(rows, [*keys, "run"]))
+    last = runs.groupBy(*keys).agg(F.max("run").alias("last"))
+    ragged = runs.where("open").join(last, keys).where("run < last").select(*keys).distinct()
+    again = _fold_rows(rows.join(ragged, keys, "left_semi"), keys)
+    done = runs.join(ragged, keys, "left_anti").select(*keys, "done").unionByName(again.select(*keys, "done"))
+    out = done.select(*keys, F.explode("done").alias("r")).select(*keys, F.col("r.row_idx").alias("row_idx"), F.posexplode("r.out").alias("n", "x"))
     return out.select(*keys, "row_idx", F.col("n").cast("bigint").alias("col_idx"), F.col("x.t").alias("text"))
 
 
