@@ -28,21 +28,31 @@ def contained_pairs(inner: DataFrame, outer: DataFrame, keys: list[str], inner_t
     """Distinct ``keys + [inner_text, outer_text]`` with the inner text inside the outer one."""
     i = inner.select(*keys, inner_text).where(F.col(inner_text) != "").distinct()
     o = outer.select(*keys, outer_text).where(F.col(outer_text) != "").distinct()
-    o = o.withColumn("_c", _letters(F.col(outer_text)))
-    spread = o.select(*keys, outer_text, F.explode(F.flatten(F.array(*[_grams(F.col("_c"), g) for g in range(1, GRAM + 1)]))).alias("gram"))
-    freq = spread.groupBy(*keys, "gram").agg(F.count("*").alias("df"))
-    i = i.withColumn("_c", _letters(F.col(inner_text)))
-    own = F.when(F.size("_c") == 1, F.col("_c")).when(F.size("_c") == 2, _grams(F.col("_c"), 2)).otherwise(_grams(F.col("_c"), GRAM))
-    # a gram nobody holds rules the text out, so the inner join may drop it only after the minimum
+    short = i.where(F.length(inner_text) < GRAM)
+    found = _contained(i.where(F.length(inner_text) >= GRAM), o, keys, inner_text, outer_text, GRAM)
+    # letters and letter pairs are spread only where a text that short is looked for
+    near = ["_one", *keys]
+    o1 = o.withColumn("_one", F.lit(1)).join(short.select(F.lit(1).alias("_one"), *keys).distinct(), near, "left_semi").drop("_one")
+    for size in range(1, GRAM):
+        found = found.unionByName(_contained(short.where(F.length(inner_text) == size), o1, keys, inner_text, outer_text, size))
+    return found
+
+
+def _contained(i: DataFrame, o: DataFrame, keys: list[str], inner_text: str, outer_text: str, size: int) -> DataFrame:
+    """Containment of texts of at least ``size`` letters, met on their rarest piece of that size."""
+    def spread(df: DataFrame, name: str) -> DataFrame:
+        df = df.withColumn("_c", _letters(F.col(name)))
+        return df.select(*keys, name, F.explode(_grams(F.col("_c"), size)).alias("gram"))
+
+    wide = spread(o, outer_text)
+    freq = wide.groupBy(*keys, "gram").agg(F.count("*").alias("df"))
+    # a piece nobody holds rules the text out, so the left join keeps it for the minimum
     anchor = (
-        i.select(*keys, inner_text, F.explode(own).alias("gram"))
-        .join(freq, [*keys, "gram"], "left")
-        .groupBy(*keys, inner_text)
-        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram"))).alias("m"))
-        .where("m.df > 0")
-        .select(*keys, inner_text, F.col("m.gram").alias("gram"))
+        spread(i, inner_text).join(freq, [*keys, "gram"], "left")
+        .groupBy(*keys, inner_text).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram"))).alias("m"))
+        .where("m.df > 0").select(*keys, inner_text, F.col("m.gram").alias("gram"))
     )
-    return anchor.join(spread, [*keys, "gram"]).where(F.col(outer_text).contains(F.col(inner_text))).select(*keys, inner_text, outer_text)
+    return anchor.join(wide, [*keys, "gram"]).where(F.col(outer_text).contains(F.col(inner_text))).select(*keys, inner_text, outer_text)
 
 
 def token_pairs(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, tokens, threshold: float) -> DataFrame:

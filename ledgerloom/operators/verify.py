@@ -22,20 +22,20 @@ SHIFT_EXPECTED = "당기→current, 전기→prior"
 def check_cells(filled: DataFrame, keys: list[str]) -> DataFrame:
     """Each amount cell as ``correct`` or one of EMPTY_CELL, TOTAL_MISMATCH, NUMBER_MISMATCH."""
     long = filled.select(
-        *keys, "row", "is_total", F.transform("row_texts", parse_whole).alias("others"),
-        F.explode(F.array(
+        *keys, "row", "is_total", "row_texts", F.explode(F.array(
             F.struct(F.lit("current").alias("col_name"), F.col("exp_cur").alias("e"), F.col("cur_text").alias("raw")),
             F.struct(F.lit("prior").alias("col_name"), F.col("exp_pri").alias("e"), F.col("pri_text").alias("raw")))).alias("x"))
-    c = long.select(*keys, "row", "is_total", "others", "x.col_name", F.col("x.e").alias("e"), strip("x.raw").alias("t")).withColumn("v", parse_whole("t"))
+    c = long.select(*keys, "row", "is_total", "row_texts", "x.col_name", F.col("x.e").alias("e"), strip("x.raw").alias("t")).withColumn("v", parse_whole("t"))
     blank = (F.col("e") != 0) & (F.col("v").isNull() | F.col("t").isin("", *DASHES))
-    elsewhere = F.exists("others", lambda o: F.coalesce(F.abs(o - F.col("e")) <= 1, F.lit(False)))
+    # the rest of the row is parsed only behind a blank cell
+    elsewhere = F.exists("row_texts", lambda o: F.coalesce(F.abs(parse_whole(o) - F.col("e")) <= 1, F.lit(False)))
     close = F.coalesce(F.abs(F.col("e") - F.col("v")) <= 1, F.lit(False))
-    verdict = (
-        F.when(F.col("e").isNull(), "correct").when(blank & elsewhere, "correct").when(blank, "EMPTY_CELL").when(close, "correct")
-        .when(F.col("is_total"), "TOTAL_MISMATCH").otherwise("NUMBER_MISMATCH"))
+    c = c.withColumn("verdict", F.when(F.col("e").isNull(), "correct").when(blank, F.when(elsewhere, "correct").otherwise("EMPTY_CELL")).when(close, "correct")
+                     .when(F.col("is_total"), "TOTAL_MISMATCH").otherwise("NUMBER_MISMATCH"))
+    verdict = F.col("verdict")
     severity = F.when(verdict == "correct", None).when(verdict == "NUMBER_MISMATCH", "WARNING").otherwise("CRITICAL")
     found = F.when((verdict == "EMPTY_CELL") & (F.col("t") == ""), EMPTY_MARK).otherwise(F.col("t"))
-    return c.select(*keys, "row", "col_name", verdict.alias("verdict"), severity.alias("severity"), format_amount("e").alias("expected"), found.alias("found"))
+    return c.select(*keys, "row", "col_name", "verdict", severity.alias("severity"), format_amount("e").alias("expected"), found.alias("found"))
 
 
 def swapped_rows(filled: DataFrame, keys: list[str]) -> DataFrame:

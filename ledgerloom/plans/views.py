@@ -368,13 +368,28 @@ def duckdb_ctes(names: list[str]) -> str:
     return "WITH " + ",\n".join(parts) if parts else ""
 
 
+LARGE = ("lineitem", "orders", "events", "documents", "pages", "conversations")
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; one that comes as a few unsplittable files is spread over the cores.
+
+    With many files, as on a cluster, the scan is left as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in LARGE and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
+
+
 def open_views(spark: SparkSession, sf_dir: str, names: list[str]) -> list[DataFrame]:
     """The named tables and views as DataFrames over ``sf_dir``."""
     opened: dict[str, DataFrame] = {}
 
     def table(name: str) -> DataFrame:
         if name not in opened:
-            opened[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            opened[name] = read_table(spark, sf_dir, name)
         return opened[name]
 
     for name in _needed(names):
