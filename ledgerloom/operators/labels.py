@@ -13,15 +13,9 @@ from pyspark.sql import functions as F
 GRAM = 3
 
 
-def _letters(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda x: x != "")
-
-
-def _grams(letters: Column, size: int) -> Column:
-    """Distinct pieces of ``size`` letters; the text is cut into letters once, so long texts stay linear."""
-    piece = lambda x, i: F.concat(x, *[F.coalesce(F.get(letters, i + k), F.lit("")) for k in range(1, size)])
-    pieces = F.transform(letters, piece) if size > 1 else letters
-    return F.array_distinct(F.slice(pieces, 1, F.greatest(F.size(letters) - size + 1, F.lit(0))))
+def grams(text: Column, size: int) -> Column:
+    """Distinct pieces of ``size`` letters, overlapping, in one scan of the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
 
 
 def contained_pairs(inner: DataFrame, outer: DataFrame, keys: list[str], inner_text: str, outer_text: str) -> DataFrame:
@@ -41,8 +35,7 @@ def contained_pairs(inner: DataFrame, outer: DataFrame, keys: list[str], inner_t
 def _contained(i: DataFrame, o: DataFrame, keys: list[str], inner_text: str, outer_text: str, size: int) -> DataFrame:
     """Containment of texts of at least ``size`` letters, met on their rarest piece of that size."""
     def spread(df: DataFrame, name: str) -> DataFrame:
-        df = df.withColumn("_c", _letters(F.col(name)))
-        return df.select(*keys, name, F.explode(_grams(F.col("_c"), size)).alias("gram"))
+        return df.select(*keys, name, F.explode(grams(F.col(name), size)).alias("gram"))
 
     wide = spread(o, outer_text)
     freq = wide.groupBy(*keys, "gram").agg(F.count("*").alias("df"))
