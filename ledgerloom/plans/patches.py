@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates as d
@@ -54,7 +56,7 @@ def _e08(cells, rows):
 @query("b01_write_patched_cells", ["tpl_cells", "row_pairs"], f"WITH {FILLED_CELLS} SELECT tpl_table, status, CAST(COUNT(*) AS BIGINT) AS n FROM fc GROUP BY ALL")
 def _b01(cells, rows):
     spark = cells.sparkSession
-    path = f"{shared_dir(spark)}/patched_cells"
+    path = f"{shared_dir(spark)}/patched_cells-{uuid.uuid4().hex}"
     _filled_cells(cells, rows).repartition("tpl_table").write.mode("overwrite").partitionBy("tpl_table").parquet(path)
     return spark.read.parquet(path).groupBy(F.col("tpl_table").cast("bigint").alias("tpl_table"), "status").agg(F.count("*").alias("n"))
 
