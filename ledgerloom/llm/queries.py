@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import secrets, sharding, simhash, topk
+from ledgerloom.llm import decontaminate, licenses, secrets, sharding, simhash, topk
 from ledgerloom.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,19 @@ def op8_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     dealt = sharding.bounded_ring(rows, "doc_id", ["text_crc32", "size"])
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home", "hops")
+
+
+@query
+def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score",
+        F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["end"]))).alias("spans"),
+    )
+
+
+@query
+def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with numbers, names and units changed or not."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

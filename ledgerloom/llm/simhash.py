@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
@@ -73,14 +73,15 @@ def _cut(bits: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def _variants(fp: Column, segments: list[tuple[int, int]], tag: int = 0) -> Column:
+def _variants(fp: Column, segments: list[tuple[int, int]]) -> Column:
     """One key for each bit of each segment: the segment with this bit deleted, marked with the bit's place."""
     keys = []
     for low, width in segments:
         for bit in range(low, low + width):
-            mask = ((1 << width) - 1) << low & ~(1 << bit)
-            mask -= (1 << 64) if mask >> 63 else 0
-            keys.append(F.xxhash64(F.lit(tag + bit), fp.bitwiseAND(F.lit(mask))))
+            mask = ((1 << width) - 1) & ~(1 << bit - low)
+            part = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+            # Short segments give short numbers, which shuffle files pack better than hashes.
+            keys.append(part + F.lit(bit << 24) if width <= 24 else F.xxhash64(F.lit(bit), part))
     return F.array(*keys)
 
 
@@ -88,51 +89,55 @@ def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _hubs(keyed: DataFrame, most: int, order: Column) -> DataFrame:
-    """Links of each bucket's members to one member of it, where they are near enough: one row a member at most."""
-    hub = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", order).alias("hub")).where("n > 1").select("key", "hub")
-    return keyed.join(hub, "key").where((F.col("fp") != F.col("hub")) & (_distance("fp", "hub") <= most)).select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+def _cut_again(rows: DataFrame, segments: list[tuple[int, int]], parts: int) -> DataFrame:
+    """``rows`` (key, bit, fp, root) of crowded buckets, under finer keys: the bucket's key and a variant of the bits outside its segment."""
+    out, seen = None, 0
+    for low, width in segments:
+        if width == BITS:
+            return rows.select("key", "fp", "root")
+        # The bits outside this segment, moved together.
+        rest = F.col("fp").bitwiseAND(F.lit((1 << low) - 1)) if low else F.shiftrightunsigned("fp", width)
+        if low and low + width < BITS:
+            rest = rest.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", low + width), low))
+        here = rows.where(F.col("bit").between(seen, seen + width - 1)).select("key", "fp", "root", F.explode(_variants(rest, _cut(BITS - width, parts))).alias("second"))
+        here = here.select(F.xxhash64("key", "second").alias("key"), "fp", "root")
+        out, seen = here if out is None else out.unionAll(here), seen + width
+    return out
 
 
-def link_fingerprints(prints: DataFrame, most: int = 4, crowd: int = 64) -> DataFrame:
+def link_fingerprints(prints: DataFrame, most: int = 4, crowd: int = 64, heap: int = 1 << 17) -> DataFrame:
     """``prints`` (fp, distinct) to (fp, root): classes of fingerprints linked by at most ``most`` differing bits, exactly.
 
     The 64 bits are cut into so few segments that two near fingerprints have one that differs by at most one bit; such
     segments share the variant that deletes this bit. Buckets of equal variants are worked in two steps:
 
-    1. every member is compared with two members of its bucket (smallest, and smallest by hash); this already joins dense groups,
-       without pairs;
-    2. only members of different classes are still compared. Buckets with over ``crowd`` of these are cut once more by the
-       variants of the bits outside the shared segment, so no bucket has to hold all pairs of a large corpus.
+    1. every member is compared with the smallest member of its bucket; this already joins dense groups, without pairs;
+    2. only buckets with members of different classes are still searched, member against member of another class. Where over
+       ``crowd`` of these meet, the bits outside the shared segment are cut into variants once more. Buckets of over ``heap`` members are
+       cut so from the start and never brought together whole.
     """
     parts = max(1, -(-(most + 1) // 2))
     segments = _cut(BITS, parts)
     keyed = prints.select("fp", F.explode(_variants(F.col("fp"), segments)).alias("key"))
-    near = durable(_hubs(keyed, most, F.col("fp")).unionAll(_hubs(keyed, most, F.xxhash64("fp"))).distinct())
-    first = components(near)
-    classed = prints.join(first, prints.fp == first.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    shared = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where("n > 1"))
+    near = keyed.join(shared, "key").where((F.col("fp") != F.col("hub")) & (_distance("fp", "hub") <= most))
+    first = components(near.select(F.col("hub").alias("a"), F.col("fp").alias("b")))
+
+    classed = durable(prints.join(first, prints.fp == first.node, "left").select("fp", F.coalesce("root", "fp").alias("root")))
     keyed = classed.select("fp", "root", F.posexplode(_variants(F.col("fp"), segments)).alias("bit", "key"))
-    mixed = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "n")
-    left = durable(keyed.join(mixed, "key").select("key", "bit", "fp", "root", "n"))
-    small = left.where(F.col("n") <= crowd).select("key", "fp", "root")
-    large = left.where(F.col("n") > crowd)
-    again = [small]
-    seen = 0
-    for low, width in segments:
-        # The bits outside this segment, moved together, are cut anew.
-        rest = F.shiftrightunsigned("fp", low + width) if low == 0 else F.col("fp").bitwiseAND(F.lit((1 << low) - 1))
-        if low and low + width < BITS:
-            rest = rest.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", low + width), low))
-        inner = _variants(rest, _cut(BITS - width, parts), tag=1000)
-        here = large.where(F.col("bit").between(seen, seen + width - 1))
-        again.append(here.select(F.explode(inner).alias("second"), "key", "fp", "root").select(F.xxhash64("key", "second").alias("key"), "fp", "root"))
-        seen += width
-    cut = again[0]
-    for more in again[1:]:
-        cut = cut.unionAll(more)
-    a, b = cut.select("key", F.col("fp").alias("a"), F.col("root").alias("ra")), cut.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    pairs = a.join(b, "key").where((F.col("ra") < F.col("rb")) & (_distance("a", "b") <= most)).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    over = components(pairs.distinct())
+    heaps = shared.where(F.col("n") > heap).select("key", F.lit(True).alias("heaped"))
+    heaped = None
+    if not heaps.isEmpty():
+        marked = keyed.join(heaps, "key", "left")
+        heaped, keyed = marked.where("heaped").drop("heaped"), marked.where("heaped IS NULL").drop("heaped")
+    bucket = Window.partitionBy("key")
+    mixed = keyed.withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket), "n": F.count("*").over(bucket)}).where("lo < hi")
+    mixed = durable(mixed.select("key", "bit", "fp", "root", "n"))
+    large = mixed.where(F.col("n") > crowd).drop("n")
+    fine = mixed.where(F.col("n") <= crowd).select("key", "fp", "root").unionAll(_cut_again(large if heaped is None else large.unionByName(heaped), segments, parts))
+    a, b = fine.select("key", F.col("fp").alias("a"), F.col("root").alias("ra")), fine.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
+    pairs = a.join(b, "key").where((F.col("ra") < F.col("rb")) & (_distance("a", "b") <= most))
+    over = components(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     return classed.join(over, classed.root == over.node, "left").select("fp", F.coalesce(over.root, classed.root).alias("root"))
 
 
