@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, licenses, secrets, sharding, simhash, topk
+from ledgerloom.llm import decontaminate, licenses, quality, secrets, sharding, simhash, topk, toxicity
 from ledgerloom.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,17 @@ def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with numbers, names and units changed or not."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
