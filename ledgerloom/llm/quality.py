@@ -18,7 +18,7 @@ from ledgerloom.llm.shared import held_out
 
 THRESHOLD = 0.7
 #: At most so many labelled texts of each class are learned from, none longer than LONGEST bytes; so many bytes of each go into a dictionary.
-SAMPLE, LONGEST, SAMPLE_BYTES, DICTIONARY_BYTES = 1200, 65_536, 4096, 112_640
+SAMPLE, LONGEST, SAMPLE_BYTES, DICTIONARY_BYTES = 1200, 65_536, 4096, 1_000_000
 LEVEL = 3
 
 

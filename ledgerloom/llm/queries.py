@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, licenses, quality, secrets, sharding, simhash, topk, toxicity
+from ledgerloom.llm import decontaminate, licenses, pieces, quality, secrets, sharding, simhash, topk, toxicity, warc
 from ledgerloom.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,23 @@ def op9_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixity of every page's WARC record against a replica.
+
+    The replica is the table itself with faults that the ids alone decide: a byte cut off, a byte added, a record lost, a record under another id.
+    """
+    pages = table(spark, sf_dir, "pages")
+    body = F.when(F.col("page_id") % 397 == 5, F.expr("left(html, greatest(length(html) - 1, 0))")).when(F.col("page_id") % 401 == 7, F.concat("html", F.lit("x"))).otherwise(F.col("html"))
+    moved = F.when(F.col("page_id") % 409 == 9, -1 - F.col("page_id")).otherwise(F.col("page_id"))
+    replica = pages.where(F.coalesce(F.col("page_id") % 211 != 3, F.lit(True))).select(moved.alias("page_id"), "url", body.alias("html"))
+    found = warc.report(pages, replica)
+    return found.select(F.col("id").alias("page_id"), "archive", "start", "length", "digest", "copies", "state")
+
+
+@query
+def op6_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, decoded again."""
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.load())

@@ -87,12 +87,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", shared_from: int = 3) -> DataFrame:
     """``docs`` with every live-looking secret in its text replaced by ``<kind>``; widely copied examples stay, as do all other columns."""
-    rows = durable(numbered(docs))
-    held = durable(candidates(rows, text_col, ["_row", id_col, owner_col]))
-    spans = held.select("_row", F.col(id_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.explode("found").alias("f")).select("_row", "repo", "owner", "f.*")
+    mark = [F.col(id_col).cast("string").alias("_repo"), F.xxhash64(text_col).alias("_tk")]
+    seen = candidates(docs.select(*mark, F.col(owner_col).cast("string").alias("_owner"), F.col(text_col).alias("_text")), "_text", ["_repo", "_tk", "_owner"])
+    spans = durable(seen.select("_repo", "_tk", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), F.explode("found").alias("f")).select("_repo", "_tk", "repo", "owner", "f.*"))
     live = spans.join(ownership(spans).where(F.col("owners") < shared_from), "digest")
-    marks = live.groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("_marks"))
-    joined = rows.join(marks, "_row", "left")
+    marks = live.groupBy("_repo", "_tk").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("_marks")).withColumnsRenamed({"_repo": "_r", "_tk": "_t"})
+    joined = docs.select("*", *mark).join(marks, F.col("_repo").eqNullSafe(F.col("_r")) & (F.col("_tk") == F.col("_t")), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, marks: pd.Series) -> pd.Series:

@@ -19,7 +19,7 @@ THRESHOLD = 0.3
 #: At most so many labelled texts of each class are learned from, none longer than LONGEST bytes; half find stems, half calibrate.
 TOXIC_SAMPLE, CLEAN_SAMPLE, LONGEST = 1500, 2500, 65_536
 #: A stem has so many letters, stands in so many toxic sample texts, has at least this log-odds weight; at most MOST_STEMS are kept, the heaviest first.
-STEM_LETTERS, STEM_TEXTS, STEM_WEIGHT, MOST_STEMS = (4, 5, 6, 7, 8), 10, 3.0, 2000
+STEM_LETTERS, STEM_TEXTS, STEM_WEIGHT, MOST_STEMS = (4, 5, 6, 7, 8), 15, 4.3, 2000
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 SYMBOLS = range(6)
