@@ -94,25 +94,44 @@ def _cut_again(rows: DataFrame, segments: list[tuple[int, int]], parts: int) ->
     out, seen = None, 0
     for low, width in segments:
         if width == BITS:
-            return rows.select("key", "fp", "root")
+            return rows.select("key", "bit", "fp", "root")
         # The bits outside this segment, moved together.
         rest = F.col("fp").bitwiseAND(F.lit((1 << low) - 1)) if low else F.shiftrightunsigned("fp", width)
         if low and low + width < BITS:
             rest = rest.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", low + width), low))
-        here = rows.where(F.col("bit").between(seen, seen + width - 1)).select("key", "fp", "root", F.explode(_variants(rest, _cut(BITS - width, parts))).alias("second"))
-        here = here.select(F.xxhash64("key", "second").alias("key"), "fp", "root")
+        here = rows.where(F.col("bit").between(seen, seen + width - 1)).select("key", "bit", "fp", "root", F.explode(_variants(rest, _cut(BITS - width, parts))).alias("second"))
+        here = here.select(F.xxhash64("key", "second").alias("key"), "bit", "fp", "root")
         out, seen = here if out is None else out.unionAll(here), seen + width
     return out
 
 
-def link_fingerprints(prints: DataFrame, most: int = 4, crowd: int = 64, heap: int = 1 << 17) -> DataFrame:
+def _first_shared(x: Column, segments: list[tuple[int, int]]) -> Column:
+    """Whether ``bit`` marks the first of the buckets that two fingerprints share, ``x`` being the bits in which they differ: in any other
+    bucket the pair need not be looked at again."""
+    mask = lambda low, width: F.lit((m := ((1 << width) - 1) << low) - (1 << 64 if m >> 63 else 0))
+    first, earlier = F.lit(False), F.lit(True)
+    for low, width in segments:
+        part = x.bitwiseAND(mask(low, width))
+        first |= F.col("bit").between(low, low + width - 1) & earlier & ((F.col("bit") == low) | (part != 0))
+        earlier &= F.bit_count(part) > 1
+    return first
+
+
+def _relabel(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with root replaced by the root of its root."""
+    found = roots.withColumnsRenamed({"node": "_node", "root": "_root"})
+    return rows.join(found, F.col("root") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "root")).drop("_node", "_root")
+
+
+def link_fingerprints(prints: DataFrame, most: int = 4, crowd: int = 64, heap: int = 1 << 17, rounds: int = 2) -> DataFrame:
     """``prints`` (fp, distinct) to (fp, root): classes of fingerprints linked by at most ``most`` differing bits, exactly.
 
     The 64 bits are cut into so few segments that two near fingerprints have one that differs by at most one bit; such
     segments share the variant that deletes this bit. Buckets of equal variants are worked in two steps:
 
     1. every member is compared with the smallest member of its bucket; this already joins dense groups, without pairs;
-    2. only buckets with members of different classes are still searched, member against member of another class. Where over
+    2. only buckets with members of different classes are still searched: ``rounds`` times against one more member, drawn by hash, then member
+       against member of another class, each pair in the first bucket it shares. Where over
        ``crowd`` of these meet, the bits outside the shared segment are cut into variants once more. Buckets of over ``heap`` members are
        cut so from the start and never brought together whole.
     """
@@ -131,14 +150,22 @@ def link_fingerprints(prints: DataFrame, most: int = 4, crowd: int = 64, heap: i
         marked = keyed.join(heaps, "key", "left")
         heaped, keyed = marked.where("heaped").drop("heaped"), marked.where("heaped IS NULL").drop("heaped")
     bucket = Window.partitionBy("key")
-    mixed = keyed.withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket), "n": F.count("*").over(bucket)}).where("lo < hi")
-    mixed = durable(mixed.select("key", "bit", "fp", "root", "n"))
+    sides = {"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket), "n": F.count("*").over(bucket)}
+    mixed = durable(keyed.withColumns(sides).where("lo < hi").select("key", "bit", "fp", "root", "n"))
+    for salt in range(rounds):
+        hub = F.min_by(F.struct("fp", "root"), F.xxhash64(F.lit(salt), F.col("fp"))).over(bucket)
+        met = mixed.withColumn("hub", hub).where((F.col("root") != F.col("hub.root")) & (_distance("fp", "hub.fp") <= most))
+        roots = components(met.select(F.least("root", "hub.root").alias("a"), F.greatest("root", "hub.root").alias("b")))
+        classed = durable(_relabel(classed, roots))
+        mixed = durable(_relabel(mixed.drop("n"), roots).withColumns(sides).where("lo < hi").select("key", "bit", "fp", "root", "n"))
+        heaped = None if heaped is None else _relabel(heaped, roots)
     large = mixed.where(F.col("n") > crowd).drop("n")
-    fine = mixed.where(F.col("n") <= crowd).select("key", "fp", "root").unionAll(_cut_again(large if heaped is None else large.unionByName(heaped), segments, parts))
-    a, b = fine.select("key", F.col("fp").alias("a"), F.col("root").alias("ra")), fine.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    pairs = a.join(b, "key").where((F.col("ra") < F.col("rb")) & (_distance("a", "b") <= most))
-    over = components(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    return classed.join(over, classed.root == over.node, "left").select("fp", F.coalesce(over.root, classed.root).alias("root"))
+    fine = mixed.where(F.col("n") <= crowd).drop("n").unionByName(_cut_again(large if heaped is None else large.unionByName(heaped), segments, parts))
+    a, b = fine.select("key", "bit", F.col("fp").alias("a"), F.col("root").alias("ra")), fine.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
+    near = (_distance("a", "b") <= most) & _first_shared(F.col("a").bitwiseXOR(F.col("b")), segments)
+    pairs = a.join(b, "key").where((F.col("ra") < F.col("rb")) & near)
+    roots = components(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return _relabel(classed, roots)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, most: int = 4) -> DataFrame:
