@@ -260,7 +260,7 @@ def rolled_period_columns(cells: DataFrame, years: DataFrame, keys: list[str], h
     period = (F.when(holds("old_current", "new_current"), "current").when(holds("old_prior", "new_prior"), "prior")
               .when(marks(CURRENT_MARKS), "current").when(marks(PRIOR_MARKS), "prior"))
     cand = h.withColumn("period", period).where("period is not null").select(*keys, "row_idx", F.col("cell_idx").alias("col"), "period")
-    filled = cells.where((F.col("row_idx") >= headers) & (F.col("row_idx") < headers + 10) & nb.has_amount("text")).select(
+    filled = cells.where((F.col("row_idx") >= headers) & nb.has_amount("text")).select(
         *keys, F.col("cell_idx").alias("col")).distinct()
     tries = cand.withColumn("try", F.explode(F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(step).alias("step")) for rank, step in ((0, 0), (1, 1), (2, -1))])))
     hits = tries.select(*keys, "period", F.struct((F.col("try.rank") > 0).alias("moved"), F.col("row_idx"), F.col("col"), F.col("try.rank").alias("rank")).alias("pref"),
@@ -277,7 +277,7 @@ def data_start_row(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def data_columns(cells: DataFrame, keys: list[str], spacers: DataFrame | None = None, least: float = 0.7) -> DataFrame:
     """Current and prior physical columns: the first two cell positions that are mostly numeric."""
-    body = cells.join(data_start_row(cells, keys), keys).where((F.col("row_idx") >= F.col("start_row")) & (F.col("row_idx") < 25) & (F.col("cell_idx") > 0))
+    body = cells.join(data_start_row(cells, keys), keys).where((F.col("row_idx") >= F.col("start_row")) & (F.col("cell_idx") > 0))
     if spacers is not None:
         body = body.join(spacers.select(*keys, F.col("phys_idx").alias("phys_col")), [*keys, "phys_col"], "left_anti")
     numeric = nb.is_amount_cell("text") & (tx.strip("text") != "")
@@ -339,12 +339,14 @@ def row_signatures(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys, "row_idx").agg(nums.alias("numbers"))
 
 
-def table_fingerprint(cells: DataFrame, keys: list[str], parse, limit: int = 20) -> DataFrame:
-    """Distinct values among the first ``limit`` non-zero numbers in reading order."""
+def table_fingerprint(cells: DataFrame, keys: list[str], parse, limit: int | None = None) -> DataFrame:
+    """Distinct non-zero numbers; with ``limit`` only those among the first so many in reading order."""
     v = parse("text").cast("bigint")
     n = cells.withColumn("value", v).where("value <> 0")
-    w = Window.partitionBy(*keys).orderBy("row_idx", "col_idx")
-    return n.withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit).select(*keys, "value").distinct()
+    if limit is not None:
+        w = Window.partitionBy(*keys).orderBy("row_idx", "col_idx")
+        n = n.withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit)
+    return n.select(*keys, "value").distinct()
 
 
 def numeric_columns(cells: DataFrame, keys: list[str], least: int = 3) -> DataFrame:

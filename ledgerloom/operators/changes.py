@@ -139,7 +139,8 @@ def shift_positions(positions: DataFrame, deletions: DataFrame, keys: list[str])
 
 def update_cells(cells: DataFrame, updates: DataFrame, guard: bool = True) -> DataFrame:
     """All cells with updates applied; ``status`` ok or skipped (a label stands there), NULL if untouched."""
-    u = updates.groupBy(*CELL).agg(F.last("value").alias("value"))
+    # the latest change of a cell holds; without change numbers the largest value, whatever the input order
+    u = updates.groupBy(*CELL).agg((F.max_by("value", "change_no") if "change_no" in updates.columns else F.max("value")).alias("value"))
     j = cells.join(u, CELL, "left")
     asked = F.col("value").isNotNull()
     kept = is_label_cell("text") if guard else F.lit(False)

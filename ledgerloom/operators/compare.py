@@ -55,14 +55,16 @@ def cell_findings(compared: DataFrame, keys: list[str]) -> DataFrame:
     return g.withColumn("severity", level)
 
 
-def first_numbers(cells: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """The first ``limit`` non-zero numbers of each table in reading order: the table's fingerprint."""
+def first_numbers(cells: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
+    """The non-zero numbers of each table; with ``limit`` only the first so many in reading order."""
+    if limit is None:
+        return cells.where("value <> 0")
     w = Window.partitionBy(*keys).orderBy("row_idx", "col_idx")
     return cells.where("value <> 0").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit)
 
 
-def match_by_number_share(left: DataFrame, right: DataFrame, sizes: DataFrame, limit: int = 30, least: float = 0.3) -> DataFrame:
-    """Tables by share of their first numbers, row counts within max(10, half); one to one.
+def match_by_number_share(left: DataFrame, right: DataFrame, sizes: DataFrame, limit: int | None = None, least: float = 0.3) -> DataFrame:
+    """Tables by share of their numbers, row counts within max(10, half); one to one.
 
     ``left``: pair_id, l, row_idx, col_idx, value; ``right``: pair_id, r, ...;
     ``sizes``: pair_id, side, id, n_rows.
@@ -80,11 +82,13 @@ def match_by_number_share(left: DataFrame, right: DataFrame, sizes: DataFrame, l
         "pair_id", "l", "r", F.col("s").alias("score"))
 
 
-def best_sample_match(left: DataFrame, right: DataFrame, sizes: DataFrame, tables: int = 20, numbers: int = 10, slack: int = 5) -> DataFrame:
-    """Quick look: the first tables' first numbers against all numbers of a table of about the same length."""
-    first = left.where("value <> 0").select("pair_id", "l").distinct().withColumn(
-        "k", F.row_number().over(Window.partitionBy("pair_id").orderBy("l"))).where(F.col("k") <= tables)
-    a = first_numbers(left.join(first.drop("k"), ["pair_id", "l"]), ["pair_id", "l"], numbers)
+def best_sample_match(left: DataFrame, right: DataFrame, sizes: DataFrame, tables: int | None = None, numbers: int | None = None, slack: int = 5) -> DataFrame:
+    """Each table's numbers against all numbers of a table of about the same length; ``tables`` and ``numbers`` ask for a sample of the first ones."""
+    if tables is not None:
+        first = left.where("value <> 0").select("pair_id", "l").distinct().withColumn(
+            "k", F.row_number().over(Window.partitionBy("pair_id").orderBy("l"))).where(F.col("k") <= tables)
+        left = left.join(first.drop("k"), ["pair_id", "l"])
+    a = first_numbers(left, ["pair_id", "l"], numbers)
     n = a.groupBy("pair_id", "l").agg(F.count("*").alias("n"))
     a = a.groupBy("pair_id", "l", "value").agg(F.count("*").alias("c"))
     b = right.where("value <> 0").select("pair_id", "r", "value").distinct()

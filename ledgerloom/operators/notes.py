@@ -16,7 +16,7 @@ from ledgerloom.session import durable
 
 def read_titles(notes: DataFrame, title_map: DataFrame) -> DataFrame:
     """Add ``en``: the title read in English through the title dictionary, NULL if unknown."""
-    m = title_map.select("ko", "en")
+    m = title_map.groupBy("ko").agg((F.min_by("en", "ord") if "ord" in title_map.columns else F.min("en")).alias("en"))
     t = notes.withColumns({"t0": F.trim("title"), "t1": bare_title("title")})
     t = t.join(m.select(F.col("ko").alias("t0"), F.col("en").alias("e0")), "t0", "left")
     t = t.join(m.select(F.col("ko").alias("t1"), F.col("en").alias("e1")), "t1", "left")

@@ -20,11 +20,15 @@ SHIFT_EXPECTED = "당기→current, 전기→prior"
 
 
 def check_cells(filled: DataFrame, keys: list[str]) -> DataFrame:
-    """Each amount cell as ``correct`` or one of EMPTY_CELL, TOTAL_MISMATCH, NUMBER_MISMATCH."""
+    """Each amount cell as ``correct`` or one of EMPTY_CELL, TOTAL_MISMATCH, NUMBER_MISMATCH.
+
+    Cells of a table without such a column (``has_cur``, ``has_pri`` false, where given) are neither checked nor counted.
+    """
+    there = lambda c: F.coalesce(F.col(c), F.lit(True)) if c in filled.columns else F.lit(True)
     long = filled.select(
         *keys, "row", "is_total", "row_texts", F.explode(F.array(
-            F.struct(F.lit("current").alias("col_name"), F.col("exp_cur").alias("e"), F.col("cur_text").alias("raw")),
-            F.struct(F.lit("prior").alias("col_name"), F.col("exp_pri").alias("e"), F.col("pri_text").alias("raw")))).alias("x"))
+            F.struct(F.lit("current").alias("col_name"), F.col("exp_cur").alias("e"), F.col("cur_text").alias("raw"), there("has_cur").alias("there")),
+            F.struct(F.lit("prior").alias("col_name"), F.col("exp_pri").alias("e"), F.col("pri_text").alias("raw"), there("has_pri").alias("there")))).alias("x")).where("x.there")
     c = long.select(*keys, "row", "is_total", "row_texts", "x.col_name", F.col("x.e").alias("e"), strip("x.raw").alias("t")).withColumn("v", parse_whole("t"))
     blank = (F.col("e") != 0) & (F.col("v").isNull() | F.col("t").isin("", *DASHES))
     # the rest of the row is parsed only behind a blank cell

@@ -106,7 +106,7 @@ AMOUNT_CELL = f"({T} NOT IN ('', '-', '–', '—', chr(92)) AND {LOOKS})"
 @query("w02_rolled_period_columns", ["tpl_cells"], f"""
 WITH h AS (SELECT pair_id, tpl_table, row_idx, cell_idx, CASE WHEN contains({T}, CAST(pair_id % 10000 - 1 AS VARCHAR)) OR contains({T}, CAST(pair_id % 10000 AS VARCHAR)) THEN 'current'
    WHEN contains({T}, CAST(pair_id % 10000 - 2 AS VARCHAR)) THEN 'prior' END AS period FROM tpl_cells WHERE row_idx < 2),
- f AS (SELECT DISTINCT pair_id, tpl_table, cell_idx FROM tpl_cells WHERE row_idx BETWEEN 2 AND 11 AND {AMOUNT_CELL}),
+ f AS (SELECT DISTINCT pair_id, tpl_table, cell_idx FROM tpl_cells WHERE row_idx >= 2 AND {AMOUNT_CELL}),
  t AS (SELECT h.*, k.rank, h.cell_idx + k.step AS col FROM h CROSS JOIN (VALUES (0, 0), (1, 1), (2, -1)) k(rank, step) WHERE period IS NOT NULL)
 SELECT t.pair_id, t.tpl_table, t.period, arg_min(t.col, LEAST(t.rank, 1) * 1000000 + t.row_idx * 1000 + t.cell_idx * 10 + t.rank) AS col
 FROM t JOIN f ON f.pair_id = t.pair_id AND f.tpl_table = t.tpl_table AND f.cell_idx = t.col GROUP BY ALL""")
@@ -127,7 +127,7 @@ def _w04(cells):
 
 IS_CELL = f"({T} <> '' AND ({T} IN ('-', '–', '—', '/', chr(92)) OR regexp_full_match(replace(translate({T}, ',()- △▲' || chr(92), ''), '.', ''), '[0-9]*')))"
 DATA_COLS = f"""(WITH b AS (SELECT c.pair_id, c.tpl_table, c.cell_idx, mode(c.phys_col) AS phys, AVG(CASE WHEN {IS_CELL} THEN 1.0 ELSE 0.0 END) AS share FROM tpl_cells c
-   JOIN {START} st ON st.pair_id = c.pair_id AND st.tpl_table = c.tpl_table WHERE c.row_idx >= st.s AND c.row_idx < 25 AND c.cell_idx > 0 GROUP BY ALL),
+   JOIN {START} st ON st.pair_id = c.pair_id AND st.tpl_table = c.tpl_table WHERE c.row_idx >= st.s AND c.cell_idx > 0 GROUP BY ALL),
  k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pair_id, tpl_table ORDER BY cell_idx) AS k FROM b WHERE share >= 0.7)
  SELECT pair_id, tpl_table, MAX(phys) FILTER (k = 1) AS cur_col, COALESCE(MAX(phys) FILTER (k = 2), -1) AS pri_col FROM k WHERE k <= 2 GROUP BY ALL)"""
 
@@ -179,8 +179,7 @@ def _a26(cells):
 
 
 @query("a26_table_fingerprint", ["src_cells"], f"""
-SELECT DISTINCT pair_id, note_no, value FROM (SELECT pair_id, note_no, row_idx, col_idx, CAST({report_number('text', 'value')} AS BIGINT) AS value FROM src_cells) q WHERE value <> 0
-QUALIFY ROW_NUMBER() OVER (PARTITION BY pair_id, note_no ORDER BY row_idx, col_idx) <= 20""".replace("SELECT DISTINCT pair_id, note_no, value FROM (SELECT", "SELECT DISTINCT * FROM (SELECT pair_id, note_no, value FROM (SELECT").replace("<= 20", "<= 20) z"))
+SELECT DISTINCT pair_id, note_no, value FROM (SELECT pair_id, note_no, row_idx, col_idx, CAST({report_number('text', 'value')} AS BIGINT) AS value FROM src_cells) q WHERE value <> 0""")
 def _a26b(cells):
     return cl.table_fingerprint(cells, S, nb.parse_report_number_or_percent)
 

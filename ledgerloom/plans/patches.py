@@ -17,11 +17,11 @@ from ledgerloom.session import shared_dir
 
 T = o.strip("text")
 IS_CELL = f"({T} IN ('', '-', '–', '—', '/', chr(92)) OR regexp_full_match(replace(translate({T}, ',()- △▲' || chr(92), ''), '.', ''), '[0-9]*'))"
-BASE = "(SELECT * FROM tpl_cells WHERE tpl_table < 100)"
+BASE = "(SELECT * FROM tpl_cells)"
 
 
 def base(cells):
-    return cells.where("tpl_table < 100")
+    return cells
 
 
 FILLED_CELLS = f"""rp AS (SELECT * FROM row_pairs), fi AS (SELECT pair_id, tpl_table, tpl_row AS row_idx, CAST(2 AS BIGINT) AS phys_col, {o.fmt('exp_cur')} AS value FROM rp
@@ -123,13 +123,13 @@ def _c24(rows, tpl):
 
 
 @query("c25_nearest_table", ["row_pairs", "tpl_rows"], """
-WITH w AS (SELECT pair_id, src_row, tpl_table * 3 + src_row % 11 AS pos FROM row_pairs), t AS (SELECT DISTINCT pair_id, tpl_table * 5 AS at FROM tpl_rows WHERE tpl_table < 100),
+WITH w AS (SELECT pair_id, src_row, tpl_table * 3 + src_row % 11 AS pos FROM row_pairs), t AS (SELECT DISTINCT pair_id, tpl_table * 5 AS at FROM tpl_rows),
  k AS (SELECT DISTINCT pair_id, pos FROM w),
  h AS (SELECT k.pair_id, k.pos, arg_min(t.at, ABS(t.at - k.pos) * 2 - CASE WHEN t.at > k.pos THEN 1 ELSE 0 END) AS tpl_table FROM k JOIN t ON t.pair_id = k.pair_id AND ABS(t.at - k.pos) <= 3 GROUP BY ALL)
 SELECT w.pair_id, w.src_row, w.pos, h.tpl_table FROM w LEFT JOIN h ON h.pair_id = w.pair_id AND h.pos = w.pos""")
 def _c25(rows, tpl):
     w = rows.select("pair_id", "src_row", (F.col("tpl_table") * 3 + F.col("src_row") % 11).alias("pos"))
-    return ch.nearest_table(w, tpl.where("tpl_table < 100").select("pair_id", (F.col("tpl_table") * 5).alias("pos")))
+    return ch.nearest_table(w, tpl.select("pair_id", (F.col("tpl_table") * 5).alias("pos")))
 
 
 DELETIONS = "(SELECT pair_id, tpl_table * 7 AS start, 1 + tpl_table % 3 AS count FROM (SELECT DISTINCT pair_id, tpl_table FROM tpl_rows WHERE tpl_table % 2 = 0) q)"
@@ -377,10 +377,10 @@ def _j17(docs):
 SELECT kind, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT CASE WHEN b = a THEN NULL WHEN b = c0 AND a = c1 THEN 'current' WHEN b = p0 AND a = c0 THEN 'prior' WHEN contains(b, c0) AND contains(a, c1) AND replace(b, c0, c1) = a THEN 'current'
   WHEN contains(b, p0) AND contains(a, c0) AND replace(b, p0, c0) = a THEN 'prior' ELSE 'other' END AS kind
  FROM (SELECT b, CASE doc_id % 5 WHEN 0 THEN b WHEN 1 THEN replace(b, c0, c1) WHEN 2 THEN replace(b, p0, c0) WHEN 3 THEN b || '!' ELSE replace(replace(b, c0, c1), p0, c0) END AS a, c0, c1, p0 FROM (
-  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(y1 AS VARCHAR) WHEN doc_id % 3 = 1 THEN CAST(y1 - 1 AS VARCHAR) ELSE text END AS b, CAST(y1 AS VARCHAR) AS c0, CAST(y1 + 1 AS VARCHAR) AS c1, CAST(y1 - 1 AS VARCHAR) AS p0 FROM docs) r) q) z GROUP BY kind""")
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' ' || CAST(y1 AS VARCHAR) WHEN doc_id % 3 = 1 THEN text || ' ' || CAST(y1 - 1 AS VARCHAR) ELSE text END AS b, CAST(y1 AS VARCHAR) AS c0, CAST(y1 + 1 AS VARCHAR) AS c1, CAST(y1 - 1 AS VARCHAR) AS p0 FROM docs) r) q) z GROUP BY kind""")
 def _e20(docs):
     y = lambda k: (F.col("y1") + k).cast("string")
-    t = docs.withColumn("b", F.when(F.col("doc_id") % 3 == 0, y(0)).when(F.col("doc_id") % 3 == 1, y(-1)).otherwise(F.col("text")))
+    t = docs.withColumn("b", F.when(F.col("doc_id") % 3 == 0, F.concat_ws(" ", "text", y(0))).when(F.col("doc_id") % 3 == 1, F.concat_ws(" ", "text", y(-1))).otherwise(F.col("text")))
     k = F.col("doc_id") % 5
     a = (F.when(k == 0, F.col("b")).when(k == 1, F.replace("b", y(0), y(1))).when(k == 2, F.replace("b", y(-1), y(0))).when(k == 3, F.concat("b", F.lit("!")))
          .otherwise(F.replace(F.replace("b", y(0), y(1)), y(-1), y(0))))

@@ -199,8 +199,7 @@ def _c16(rows, sc, tc):
 
 @query("c22_first_label_hit", ["src_rows", "tpl_rows"], """
 SELECT s.pair_id, s.note_seq AS tbl, s.row_idx AS src_row,
-  (SELECT MIN(t.row_idx) FROM tpl_rows t WHERE t.pair_id = s.pair_id AND t.tpl_table = s.note_seq AND (contains(t.label, s.label) OR contains(s.label, t.label)
-     OR substring(t.label, 1, 5) = substring(s.label, 1, 5))) AS tpl_row FROM src_rows s""")
+  (SELECT MIN(t.row_idx) FROM tpl_rows t WHERE t.pair_id = s.pair_id AND t.tpl_table = s.note_seq AND (contains(t.label, s.label) OR contains(s.label, t.label))) AS tpl_row FROM src_rows s""")
 def _c22(src, tpl):
     s, t = _sides(src, tpl)
     return rw.first_label_hit(s, t, KEYS)
@@ -284,12 +283,8 @@ NUMBERS = f"""
  zl AS (SELECT pair_id, note_seq AS id, COUNT(*) AS n FROM src_rows GROUP BY 1, 2), zr AS (SELECT pair_id, tpl_table AS id, COUNT(*) AS n FROM tpl_rows GROUP BY 1, 2)"""
 
 
-def _first(t: str, n: int) -> str:
-    return f"(SELECT pair_id, id, v FROM {t} WHERE v <> 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY pair_id, id ORDER BY row_idx, c) <= {n})"
-
-
 SHARE = f"""{NUMBERS},
- fl AS (SELECT DISTINCT * FROM {_first('nl', 30)} q), fr AS (SELECT DISTINCT * FROM {_first('nr', 30)} q),
+ fl AS (SELECT DISTINCT * FROM (SELECT pair_id, id, v FROM nl WHERE v <> 0) q), fr AS (SELECT DISTINCT * FROM (SELECT pair_id, id, v FROM nr WHERE v <> 0) q),
  ce AS (SELECT fl.pair_id AS g, fl.id AS l, fr.id AS r, fr.id AS o, CAST(COUNT(*) AS DOUBLE) / CAST(MAX(a.n) AS DOUBLE) AS s FROM fl JOIN fr ON fl.pair_id = fr.pair_id AND fl.v = fr.v
    JOIN (SELECT pair_id, id, COUNT(*) AS n FROM fl GROUP BY 1, 2) a ON a.pair_id = fl.pair_id AND a.id = fl.id
    JOIN zl ON zl.pair_id = fl.pair_id AND zl.id = fl.id JOIN zr ON zr.pair_id = fr.pair_id AND zr.id = fr.id
@@ -303,8 +298,7 @@ def _c26(src, tpl):
 
 
 @query("c27_sample_match", ["src_rows", "tpl_rows"], f"""WITH {NUMBERS},
- k AS (SELECT pair_id, id FROM (SELECT DISTINCT pair_id, id FROM nl WHERE v <> 0) q QUALIFY ROW_NUMBER() OVER (PARTITION BY pair_id ORDER BY id) <= 20),
- fl AS (SELECT f.* FROM {_first('nl', 10)} f JOIN k ON k.pair_id = f.pair_id AND k.id = f.id),
+ fl AS (SELECT pair_id, id, v FROM nl WHERE v <> 0),
  n AS (SELECT pair_id, id, COUNT(*) AS n FROM fl GROUP BY 1, 2),
  e AS (SELECT fl.pair_id, fl.id AS l, b.id AS r, CAST(COUNT(*) AS DOUBLE) / CAST(MAX(n.n) AS DOUBLE) AS score FROM fl JOIN (SELECT DISTINCT pair_id, id, v FROM nr WHERE v <> 0) b ON b.pair_id = fl.pair_id AND b.v = fl.v
    JOIN n ON n.pair_id = fl.pair_id AND n.id = fl.id JOIN zl ON zl.pair_id = fl.pair_id AND zl.id = fl.id JOIN zr ON zr.pair_id = b.pair_id AND zr.id = b.id WHERE ABS(zr.n - zl.n) <= 5 GROUP BY 1, 2, 3)

@@ -84,13 +84,13 @@ def _i06(rows, terms):
 
 PARA_EN = (f"CASE WHEN NOT regexp_matches({{x}}, '{KO}') THEN {{x}} ELSE COALESCE(CASE WHEN length({{x}}) < 40 AND NOT contains({{x}}, chr(10)) THEN COALESCE(" + exact("gloss", "{x}") + ", "
            + exact("terms", "{x}") + ") END, CASE WHEN length(" + longest("gloss", "{x}", "d.ko") + ") >= length({x}) * 0.7 THEN " + longest("gloss", "{x}") + " END, " + OPEN + ") END")
-PARAS = "(SELECT DISTINCT CASE WHEN doc_id % 4 = 0 THEN '합계' WHEN doc_id % 4 = 1 THEN '합계액' WHEN doc_id % 4 = 2 THEN text || ' 합계' ELSE text END AS p FROM documents)"
+PARAS = "(SELECT DISTINCT CASE WHEN doc_id % 4 = 0 THEN '합계 ' || text WHEN doc_id % 4 = 1 THEN text || ' 합계액' WHEN doc_id % 4 = 2 THEN text || ' 합계' ELSE text END AS p FROM documents)"
 
 
 @query("i07_translate_paragraphs", ["documents", "terms"], f"WITH gloss AS {GLOSS}, pp AS (SELECT {o.strip('p')} AS paragraph FROM {PARAS} q) SELECT DISTINCT paragraph, {PARA_EN.format(x='paragraph')} AS english FROM pp")
 def _i07(docs, terms):
     k = F.col("doc_id") % 4
-    p = F.when(k == 0, "합계").when(k == 1, "합계액").when(k == 2, F.concat("text", F.lit(" 합계"))).otherwise(F.col("text"))
+    p = F.when(k == 0, F.concat(F.lit("합계 "), "text")).when(k == 1, F.concat("text", F.lit(" 합계액"))).when(k == 2, F.concat("text", F.lit(" 합계"))).otherwise(F.col("text"))
     return gl.translate_paragraphs(docs.select(p.alias("p")), "p", _gloss(terms), terms)
 
 
