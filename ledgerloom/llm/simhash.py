@@ -140,7 +140,7 @@ def link_fingerprints(prints: DataFrame, most: int = 4, crowd: int = 64, heap: i
     keyed = prints.select("fp", F.explode(_variants(F.col("fp"), segments)).alias("key"))
     shared = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where("n > 1"))
     near = keyed.join(shared, "key").where((F.col("fp") != F.col("hub")) & (_distance("fp", "hub") <= most))
-    first = components(near.select(F.col("hub").alias("a"), F.col("fp").alias("b")))
+    first = components(near.select(F.col("hub").alias("a"), F.col("fp").alias("b")), rounds=2)
 
     classed = durable(prints.join(first, prints.fp == first.node, "left").select("fp", F.coalesce("root", "fp").alias("root")))
     keyed = classed.select("fp", "root", F.posexplode(_variants(F.col("fp"), segments)).alias("bit", "key"))
@@ -155,7 +155,7 @@ def link_fingerprints(prints: DataFrame, most: int = 4, crowd: int = 64, heap: i
     for salt in range(rounds):
         hub = F.min_by(F.struct("fp", "root"), F.xxhash64(F.lit(salt), F.col("fp"))).over(bucket)
         met = mixed.withColumn("hub", hub).where((F.col("root") != F.col("hub.root")) & (_distance("fp", "hub.fp") <= most))
-        roots = components(met.select(F.least("root", "hub.root").alias("a"), F.greatest("root", "hub.root").alias("b")))
+        roots = components(met.select(F.least("root", "hub.root").alias("a"), F.greatest("root", "hub.root").alias("b")), rounds=1)
         classed = durable(_relabel(classed, roots))
         mixed = durable(_relabel(mixed.drop("n"), roots).withColumns(sides).where("lo < hi").select("key", "bit", "fp", "root", "n"))
         heaped = None if heaped is None else _relabel(heaped, roots)
