@@ -129,7 +129,8 @@ def link_fingerprints(prints: DataFrame, most: int = 4, crowd: int = 64, heap: i
     The 64 bits are cut into so few segments that two near fingerprints have one that differs by at most one bit; such
     segments share the variant that deletes this bit. Buckets of equal variants are worked in two steps:
 
-    1. every member is compared with the smallest member of its bucket; this already joins dense groups, without pairs;
+    1. every member is compared with the smallest member of its bucket; this already joins dense groups, without pairs. Components
+       are taken for a few rounds only here and below: classes that stay apart are met again, and the last step goes to the end;
     2. only buckets with members of different classes are still searched: ``rounds`` times against one more member, drawn by hash, then member
        against member of another class, each pair in the first bucket it shares. Where over
        ``crowd`` of these meet, the bits outside the shared segment are cut into variants once more. Buckets of over ``heap`` members are
