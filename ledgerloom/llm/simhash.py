@@ -123,36 +123,72 @@ def _relabel(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(found, F.col("root") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "root")).drop("_node", "_root")
 
 
-def link_fingerprints(prints: DataFrame, most: int = 4, crowd: int = 64, heap: int = 1 << 17, rounds: int = 2) -> DataFrame:
-    """``prints`` (fp, distinct) to (fp, root): classes of fingerprints linked by at most ``most`` differing bits, exactly.
+def _first_shared_rows(x: np.ndarray, bit: np.ndarray, segments: list[tuple[int, int]]) -> np.ndarray:
+    """As ``_first_shared``, over arrays."""
+    first, earlier = np.zeros(len(x), dtype=bool), np.ones(len(x), dtype=bool)
+    for low, width in segments:
+        part = x & np.uint64(((1 << width) - 1) << low)
+        first |= (bit >= low) & (bit < low + width) & earlier & ((bit == low) | (part != 0))
+        earlier &= np.bitwise_count(part) > 1
+    return first
 
-    The 64 bits are cut into so few segments that two near fingerprints have one that differs by at most one bit; such
-    segments share the variant that deletes this bit. Buckets of equal variants are worked in two steps:
 
-    1. every member is compared with the smallest member of its bucket; this already joins dense groups, without pairs. Components
-       are taken for a few rounds only here and below: classes that stay apart are met again, and the last step goes to the end;
-    2. only buckets with members of different classes are still searched: ``rounds`` times against one more member, drawn by hash, then member
-       against member of another class, each pair in the first bucket it shares. Where over
-       ``crowd`` of these meet, the bits outside the shared segment are cut into variants once more. Buckets of over ``heap`` members are
-       cut so from the start and never brought together whole.
-    """
-    parts = max(1, -(-(most + 1) // 2))
-    segments = _cut(BITS, parts)
-    keyed = prints.select("fp", F.explode(_variants(F.col("fp"), segments)).alias("key"))
-    shared = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where("n > 1"))
-    near = keyed.join(shared, "key").where((F.col("fp") != F.col("hub")) & (_distance("fp", "hub") <= most))
-    first = components(near.select(F.col("hub").alias("a"), F.col("fp").alias("b")), rounds=2)
-
-    classed = durable(prints.join(first, prints.fp == first.node, "left").select("fp", F.coalesce("root", "fp").alias("root")))
-    keyed = classed.select("fp", "root", F.posexplode(_variants(F.col("fp"), segments)).alias("bit", "key"))
-    heaps = shared.where(F.col("n") > heap).select("key", F.lit(True).alias("heaped"))
+def _links_within(key: np.ndarray, bit: np.ndarray, fp: np.ndarray, segments: list[tuple[int, int]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs of rows sorted by key, each in the first bucket it shares. Two that are both near the smallest member of
+    their bucket are left to their links with it."""
+    x = fp.view(np.uint64)
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
+    hub = np.minimum.reduceat(fp, start)[run]
+    led = (np.bitwise_count(x ^ hub.view(np.uint64)) <= most) & (fp != hub)
+    a, b = [], []
+    at = np.flatnonzero(run[1:] == run[:-1])
+    d = 1
+    while len(at):
+        apart = x[at] ^ x[at + d]
+        near = (np.bitwise_count(apart) <= most) & (bit[at] == bit[at + d]) & ~(led[at] & led[at + d])
+        i = at[near]
+        i = i[_first_shared_rows(apart[near], bit[i], segments)]
+        a.append(fp[i])
+        b.append(fp[i + d])
+        d += 1
+        at = at[at + d < len(run)]
+        at = at[run[at] == run[at + d]]
+    return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
+
+
+def _bucket_links(rows: DataFrame, segments: list[tuple[int, int]], most: int) -> DataFrame:
+    """Links (a, b) inside the buckets of ``rows`` (key, bit, fp), which must be small: a task holds a batch and one bucket at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int8), np.zeros(0, dtype=np.int64)]
+        for batch in batches:
+            held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns)]
+            if not len(held[0]):
+                continue
+            # The last bucket may go on in the next batch.
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                a, b = _links_within(*[h[:cut] for h in held], segments, most)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                held = [h[cut:] for h in held]
+        if len(held[0]):
+            a, b = _links_within(*held, segments, most)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    placed = rows.select("key", F.col("bit").cast("byte").alias("bit"), "fp").repartition("key").sortWithinPartitions("key")
+    return placed.mapInArrow(run, "a long, b long")
+
+
+def _pairs_of_crowds(crowded: DataFrame, heaps: DataFrame | None, classed: DataFrame, segments: list[tuple[int, int]], most: int, crowd: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(``classed`` relabelled, pairs of roots still to be joined) from ``crowded`` (key, bit, fp, root), the members of crowded buckets."""
     heaped = None
-    if not heaps.isEmpty():
-        marked = keyed.join(heaps, "key", "left")
-        heaped, keyed = marked.where("heaped").drop("heaped"), marked.where("heaped IS NULL").drop("heaped")
+    if heaps is not None:
+        marked = crowded.join(heaps, "key", "left")
+        heaped, crowded = marked.where("heaped").drop("heaped"), marked.where("heaped IS NULL").drop("heaped")
     bucket = Window.partitionBy("key")
     sides = {"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket), "n": F.count("*").over(bucket)}
-    mixed = durable(keyed.withColumns(sides).where("lo < hi").select("key", "bit", "fp", "root", "n"))
+    mixed = durable(crowded.withColumns(sides).where("lo < hi").select("key", "bit", "fp", "root", "n"))
     for salt in range(rounds):
         hub = F.min_by(F.struct("fp", "root"), F.xxhash64(F.lit(salt), F.col("fp"))).over(bucket)
         met = mixed.withColumn("hub", hub).where((F.col("root") != F.col("hub.root")) & (_distance("fp", "hub.fp") <= most))
@@ -161,12 +197,52 @@ def link_fingerprints(prints: DataFrame, most: int = 4, crowd: int = 64, heap: i
         mixed = durable(_relabel(mixed.drop("n"), roots).withColumns(sides).where("lo < hi").select("key", "bit", "fp", "root", "n"))
         heaped = None if heaped is None else _relabel(heaped, roots)
     large = mixed.where(F.col("n") > crowd).drop("n")
-    fine = mixed.where(F.col("n") <= crowd).drop("n").unionByName(_cut_again(large if heaped is None else large.unionByName(heaped), segments, parts))
+    fine = mixed.where(F.col("n") <= crowd).drop("n").unionByName(_cut_again(large if heaped is None else large.unionByName(heaped), segments, -(-(most + 1) // 2)))
     a, b = fine.select("key", "bit", F.col("fp").alias("a"), F.col("root").alias("ra")), fine.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
     near = (_distance("a", "b") <= most) & _first_shared(F.col("a").bitwiseXOR(F.col("b")), segments)
     pairs = a.join(b, "key").where((F.col("ra") < F.col("rb")) & near)
-    roots = components(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    return _relabel(classed, roots)
+    return classed, pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+
+def link_fingerprints(prints: DataFrame, most: int = 4, crowd: int = 64, heap: int = 1 << 17, rounds: int = 2, sent: int = 1 << 18) -> DataFrame:
+    """``prints`` (fp, distinct) to (fp, root): classes of fingerprints linked by at most ``most`` differing bits, exactly.
+
+    The 64 bits are cut into so few segments that two near fingerprints have one that differs by at most one bit; such
+    segments share the variant that deletes this bit. Buckets of equal variants are counted first, then
+
+    1. buckets of at most ``crowd`` members are compared member by member, one after the other in key order, and give links only;
+    2. in larger ones every member is compared with the smallest; this already joins dense groups, without pairs. Components are taken
+       for a few rounds only: classes that stay apart are met again, and the last step goes to the end;
+    3. larger buckets with members of different classes are still searched: ``rounds`` times against one more member, drawn by hash, then
+       member against member of another class, each pair in the first bucket it shares. Where over
+       ``crowd`` of these meet, the bits outside the shared segment are cut into variants once more. Buckets of over ``heap`` members are
+       cut so from the start and never brought together whole.
+
+    The keys of larger buckets are broadcast up to ``sent`` of them; beyond that they are shuffled.
+    """
+    segments = _cut(BITS, max(1, -(-(most + 1) // 2)))
+    keys = lambda rows: rows.select(*rows.columns, F.posexplode(_variants(F.col("fp"), segments)).alias("bit", "key"))
+    many = durable(keys(prints).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd))
+    counts = many.agg(F.count("*").alias("keys"), F.count_if(F.col("n") > heap).alias("heaps")).first()
+    large = F.broadcast(many) if counts["keys"] <= sent else many
+    small = durable(_bucket_links(keys(prints).join(large, "key", "left_anti") if counts["keys"] else keys(prints), segments, most))
+    if not counts["keys"]:
+        return _relabel(prints.withColumn("root", F.col("fp")), components(small))
+
+    held = keys(prints).join(large.select("key"), "key")
+    hubs = held.groupBy("key").agg(F.min("fp").alias("hub"))
+    hubs = F.broadcast(hubs) if counts["keys"] <= sent else hubs
+    near = held.join(hubs, "key").where((F.col("fp") != F.col("hub")) & (_distance("fp", "hub") <= most))
+    first = components(small.unionAll(near.select(F.col("hub").alias("a"), F.col("fp").alias("b"))), rounds=2)
+    classed = durable(_relabel(prints.withColumn("root", F.col("fp")), first))
+    heaps = many.where(F.col("n") > heap).select("key", F.lit(True).alias("heaped")) if counts["heaps"] else None
+    crowded = keys(classed).join(large.select("key"), "key").select("key", "bit", "fp", "root")
+    classed, pairs = _pairs_of_crowds(crowded, heaps, classed, segments, most, crowd, rounds)
+    for end in ("a", "b"):
+        named = classed.select(F.col("fp").alias(end), F.col("root").alias(f"r{end}"))
+        small = small.join(named, end)
+    rest = small.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    return _relabel(classed, components(pairs.unionAll(rest)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, most: int = 4) -> DataFrame:

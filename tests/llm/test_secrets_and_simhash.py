@@ -107,9 +107,9 @@ def test_links_in_crowded_buckets(spark):
     prints |= {(centre & ~0xFFFFF) ^ rng.getrandbits(20) for _ in range(150)} | {(centre & (1 << 44) - 1) | rng.getrandbits(20) << 44 for _ in range(150)}
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
-    for crowd, heap in ((64, 1 << 17), (3, 40)):
+    for crowd, heap, sent in ((64, 1 << 17, 1 << 18), (3, 40, 1 << 18), (3, 40, 0), (5000, 1 << 17, 0)):
         got = defaultdict(set)
-        for r in simhash.link_fingerprints(df, 4, crowd, heap).collect():
+        for r in simhash.link_fingerprints(df, 4, crowd, heap, sent=sent).collect():
             got[r.root].add(r.fp)
         assert {frozenset(g) for g in got.values()} == {frozenset(map(signed, g)) for g in classes(prints, 4)}
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
