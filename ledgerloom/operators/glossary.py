@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import translate_date
-from ledgerloom.functions.fuzzy import best_fuzzy, fuzzy_candidates, sequence_ratio
+from ledgerloom.functions.fuzzy import best_fuzzy, sequence_ratio
 from ledgerloom.functions.numbers import DASHES, is_amount_cell, is_number_text
 from ledgerloom.functions.text import bare_title, clean_label, is_english, is_korean, normalize_number, strip
 from ledgerloom.operators.labels import contained_pairs
@@ -208,17 +208,22 @@ def merge_glossaries(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return best.select(*keys, "ko", F.col("m.en").alias("en"), F.col("m.source").alias("source"))
 
 
-def context_entries(dictionary: DataFrame, texts: DataFrame, text: str, limit: int = 30, fallback: int = 20) -> DataFrame:
-    """Entries worth showing for the texts: they share one of a text's first four letters, or resemble it."""
-    t = texts.select(strip(text).alias("a")).where("a <> ''").distinct()
-    letters = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != "")))
-    by_letter = dictionary.select("ko", letters(F.col("ko")).alias("ch")).join(t.select(letters(F.substring("a", 1, 4)).alias("ch")).distinct(), "ch", "left_semi").select("ko")
-    rest = dictionary.join(by_letter, "ko", "left_anti")
-    near = fuzzy_candidates(t, rest.select(F.col("ko").alias("b")), 0.3).where(sequence_ratio("a", "b") > 0.3).select(F.col("b").alias("ko"))
-    ok = by_letter.unionByName(near).distinct()
-    some = dictionary.join(ok, "ko", "left_semi").orderBy("ord").limit(limit)
-    any_ = ok.agg((F.count("*") > 0).alias("some"))
-    plain = dictionary.orderBy("ord").limit(fallback).join(any_.where("not some").select(F.lit(1).alias("x")), how="left_semi")
+def context_entries(dictionary: DataFrame, texts: DataFrame, text: str, limit: int | None = None, fallback: int | None = None) -> DataFrame:
+    """Entries worth showing for the texts, with the number of their letters that the texts hold (hits), blanks aside.
+
+    Whole texts are read. Entries without a hit come only if no entry has one. ``limit`` keeps the entries of most hits, the
+    first of equals; ``fallback`` the first entries where none has a hit. Columns: ko, en, ord, hits.
+    """
+    letters = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, ""), lambda x: F.trim(x) != "")))
+    used = texts.select(letters(strip(text)).alias("ch")).distinct()
+    hits = dictionary.select("ko").distinct().select("ko", letters(F.col("ko")).alias("ch")).join(used, "ch").groupBy("ko").agg(F.count("*").alias("hits"))
+    rated = dictionary.join(hits, "ko", "left").select("ko", "en", "ord", F.coalesce("hits", F.lit(0).cast("long")).alias("hits")).withColumn("_some", F.col("hits") > 0)
+    shown = rated.join(rated.agg(F.max("_some").alias("_some")), "_some", "left_semi").drop("_some")
+    some, plain = shown.where("hits > 0"), shown.where("hits = 0")
+    if limit is not None:
+        some = some.orderBy(F.desc("hits"), "ord").limit(limit)
+    if fallback is not None:
+        plain = plain.orderBy("ord").limit(fallback)
     return some.unionByName(plain)
 
 

@@ -207,6 +207,12 @@ def _k02(docs):
     return docs.select("doc_id", F.posexplode(d.longest_first(pairs)).alias("place", "p")).select("doc_id", F.col("p.old").alias("old"), F.col("place").cast("bigint").alias("place"))
 
 
-@query("k04_context_entries", ["src_rows", "terms"], "SELECT ko, en, ord FROM terms ORDER BY ord LIMIT 30")
-def _k04(rows, terms):
-    return gl.context_entries(terms, _labels(rows), "label")
+@query("k04_context_entries", ["src_rows", "terms", "title_map"], f"""
+WITH used AS MATERIALIZED (SELECT DISTINCT unnest(string_split(label, '')) AS ch FROM {LABELS} q),
+dict AS MATERIALIZED (SELECT ko, en, ord FROM terms UNION ALL SELECT ko, en, ord + 1000000 FROM title_map),
+parts AS (SELECT DISTINCT ko, unnest(string_split(ko, '')) AS ch FROM dict),
+hits AS (SELECT ko, COUNT(*) AS hits FROM parts JOIN used USING (ch) WHERE trim(ch) <> '' GROUP BY ko)
+SELECT ko, en, ord, hits FROM dict JOIN hits USING (ko)""")
+def _k04(rows, terms, titles):
+    entries = terms.unionByName(titles.withColumn("ord", F.col("ord") + 1000000))
+    return gl.context_entries(entries, _labels(rows), "label")

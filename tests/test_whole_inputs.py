@@ -1,6 +1,6 @@
 """Nothing is cut away: whole labels, all numbers, all rows, absent columns."""
 
-from ledgerloom.operators import cells, changes, compare, rows, verify
+from ledgerloom.operators import cells, changes, compare, glossary, rows, verify
 
 
 def test_labels_that_differ_late(spark):
@@ -32,3 +32,14 @@ def test_absent_columns_and_repeated_updates(spark):
     updates = spark.createDataFrame([(*cell.values(), "8", 2), (*cell.values(), "9", 1)], [*cell, "value", "change_no"])
     base = spark.createDataFrame([(*cell.values(), "1")], [*cell, "text"])
     assert [changes.update_cells(base, u).first().text for u in (updates, updates.orderBy("change_no"))] == ["8", "8"]
+
+
+def test_context_letters_late_in_a_text(spark):
+    entries = spark.createDataFrame([("가 나", "one", 1), ("다", "two", 2), ("가나 라", "three", 3)], "ko string, en string, ord long")
+    texts = lambda *t: spark.createDataFrame([(x,) for x in t], "text string")
+    shown = lambda t, **k: {(r.en, r.hits) for r in glossary.context_entries(entries, t, "text", **k).collect()}
+    assert shown(texts("x" * 40 + "라나", " ", None)) == {("one", 1), ("three", 2)}
+    assert shown(texts("x" * 40 + "라나"), limit=1) == {("three", 2)}
+    assert shown(texts("xyz ")) == {("one", 0), ("two", 0), ("three", 0)}
+    assert shown(texts(), fallback=2) == {("one", 0), ("two", 0)}
+    assert glossary.context_entries(entries.where("false"), texts("가"), "text").count() == 0
