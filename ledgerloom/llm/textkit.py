@@ -89,7 +89,7 @@ def words(column: pa.Array, is_word: np.ndarray) -> Iterator[Words]:
         yield Words(first, rows, low, raw, start, end, np.searchsorted(at, start, "right") - 1)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
         n = max(n, 2 * SLICE)
@@ -108,7 +108,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(w: Words) -> np.ndarray:
     """64-bit hashes of all words of a slice, from one running sum over its bytes."""
-    up, down = _power(len(w.buffer) + 1)
+    up, down = power(len(w.buffer) + 1)
     total = np.zeros(len(w.buffer) + 1, dtype=np.uint64)
     np.cumsum((w.buffer.astype(np.uint64) + np.uint64(1)) * up[: len(w.buffer)], out=total[1:])
     return mix((total[w.end] - total[w.start]) * down[w.start] + (w.end - w.start).astype(np.uint64))

@@ -63,6 +63,27 @@ def test_leaks(spark):
     assert decontaminate.leaks(df, b.where("false")).count() == 0 and decontaminate.leaks(df.where("false"), b).count() == 0
 
 
+def leaked(spark, texts, bench):
+    b = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): (r.share, r.changed) for r in decontaminate.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b).collect()}
+
+
+def test_leaks_of_items_full_of_slots(spark):
+    bench = [
+        "A car travels 60 miles in 2 hours, 90 miles in 3 hours and 120 miles in 4 hours.",
+        "What is 12 + 7 - 3 + 15 - 8 + 22?",
+        "Sort 5, 3, 9, 1, 7, 2, 8, 6 and 4.",
+        "17 23 42",
+        "Did Ann Lee, Bob Ray, Cy Fox, Dan Poe, Eve Kay or Flo May win?",
+        "What is the sum of 1, 2, 3, 4, 5, 6, 7, 8, 9 and 10?",
+    ]
+    texts = [f"Some words before it. {x} And some words after it." for x in bench]
+    texts += ["A car travels 55 miles in 5 hours, 80 miles in 7 hours and 300 miles in 9 hours.", "A car travels 30 miles in 1 hour.", "What is the sum of 3, 4 and 5?", "Sort 1, 2, 3, 4, 5, 6, 7, 8 and 9.", "What is the sum of 9, 8, 7, 6, 5, 4, 3, 2, 1 and 11?"]
+    got = leaked(spark, texts, bench)
+    assert set(got) == {(i, i) for i in range(6)} | {(6, 0), (10, 5)}
+    assert all(got[i, i] == (1, 0) for i in range(6)) and got[6, 0] == (1, 6)
+
+
 def test_pieces(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     rng = random.Random(2)
