@@ -25,7 +25,7 @@ DIGIT = byte_class((0x30, 0x39))
 CAPITAL = byte_class((0x41, 0x5A))
 STOP = byte_class((0x21, 0x21), (0x2E, 0x2E), (0x3A, 0x3A), (0x3F, 0x3F), (0x0A, 0x0A))
 NONE, NUMBER, NAME, UNIT = range(4)
-FULL, PLAIN = VIEWS = range(2)
+FULL, CASELESS, PLAIN = VIEWS = range(3)
 
 
 def slots(w: Words, hashes: np.ndarray) -> np.ndarray:
@@ -79,14 +79,14 @@ def _stretches(plain: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndar
 def _windows(w: Words, window: int, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(view, first, end, hash) of all windows of a slice.
 
-    FULL puts placeholders for numbers, units and names, PLAIN for none. Windows are those of _stretches, in PLAIN all runs of
-    ``window`` words; and of each of the shorter ``lengths`` all runs of so many words, in FULL only those of at most half placeholders.
+    FULL puts placeholders for numbers, units and names, CASELESS for numbers and units only, PLAIN for none. Windows are those of _stretches, in PLAIN all runs of
+    ``window`` words; and of each of the shorter ``lengths`` all runs of so many words, in FULL and CASELESS only those of at most half placeholders.
     """
     h = word_hashes(w)
     kind = slots(w, h)
     marks = hash_words(["<number>", "<name>", "<unit>"])
     told = np.concatenate((marks[:1], marks))[kind]
-    for view, slot in ((FULL, kind != NONE), (PLAIN, np.zeros(len(h), dtype=bool))):
+    for view, slot in ((FULL, kind != NONE), (CASELESS, (kind != NONE) & (kind != NAME)), (PLAIN, np.zeros(len(h), dtype=bool))):
         hashed = _runs(np.where(slot, told, h))
         spans = [_stretches(~slot, w.row, window)]
         held = np.concatenate(([0], np.cumsum(slot)))
@@ -162,7 +162,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, item_id, start, end, share, slots, changed): documents that hold a benchmark item, worded anew or not.
 
     Numbers, names and units become typed placeholders in both tables; windows of ``window`` canonical words are joined by hash. A window of which more than half
-    are placeholders goes on, or back, until it holds half a window of other words. The same is done with plain words throughout, which keeps a key for items of numbers only. Items of fewer words are
+    are placeholders goes on, or back, until it holds half a window of other words. The same is done with names as plain lower-cased words, as capitals tell
+    names only in ordinary writing, and with plain words throughout, which keeps a key for items of numbers only. Items of fewer words are
     one window of their own length (three words at least; shorter ones cannot be told from chance). Along one alignment (text place minus item place) the slots must
     be consistent: equal values of the item stand for equal values in the text. A pair leaks when the consistent windows hold ``least`` of the item's windows of one
     kind, or begin at ``least`` of all places of the item where one can begin, whatever their kind. changed counts slots whose value

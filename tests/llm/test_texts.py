@@ -84,6 +84,14 @@ def test_leaks_of_items_full_of_slots(spark):
     assert all(got[i, i] == (1, 0) for i in range(6)) and got[6, 0] == (1, 6)
 
 
+def test_leaks_whatever_the_case(spark):
+    bench = ["Last May Anna Karlson of Oslo met Piet Janssen of Ghent and sold Piet Janssen 12 boats near Oslo", "Paris lies on the Seine", "a b c d e f g h"]
+    texts = [bench[0].upper(), bench[0].lower(), f"we read that {bench[0]} and more", f"we know that {bench[1]} as such", f"WE KNOW THAT {bench[1].upper()} AS SUCH", bench[1].lower(), "LAST MAY SOMEBODY ELSE SOLD BOATS", bench[0].upper().replace("12", "9")]
+    got = leaked(spark, texts, bench)
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (7, 0)}
+    assert got[0, 0] == (1, 0) and got[7, 0][1] == 1
+
+
 def test_pieces(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     rng = random.Random(2)
