@@ -18,8 +18,11 @@ from ledgerloom.llm.textkit import LETTERS, Words, byte_class, hash_words, word_
 THRESHOLD = 0.3
 #: At most so many labelled texts of each class are learned from, none longer than LONGEST bytes; half find stems, half calibrate.
 TOXIC_SAMPLE, CLEAN_SAMPLE, LONGEST = 1500, 2500, 65_536
-#: A stem has so many letters, stands in so many toxic sample texts, has at least this log-odds weight; at most MOST_STEMS are kept, the heaviest first.
-STEM_LETTERS, STEM_TEXTS, STEM_WEIGHT, MOST_STEMS = (4, 5, 6, 7, 8), 15, 4.3, 2000
+#: A stem has so many letters, stands in so many toxic sample texts (other than copies and near copies), has at least this smoothed log-odds weight and this likelihood ratio
+#: statistic (24: chance in 1 of 1 000 000, as about 100 000 stems are tried); at most MOST_STEMS are kept, the heaviest first.
+STEM_LETTERS, STEM_TEXTS, STEM_WEIGHT, STEM_RATIO, MOST_STEMS = (4, 5, 6, 7, 8), 3, 3.0, 24.0, 2000
+#: A fixed insult weighs so much; the calibration starts from so many toxic texts with one fixed insult, which outweigh labels only where those are few.
+INSULT_WEIGHT, START_TEXTS = 4.3, 3
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 SYMBOLS = range(6)
@@ -27,6 +30,11 @@ STOPS = byte_class((0x0A, 0x0A), (0x21, 0x21), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F
 
 # Closed-class words of the grammar, in English, French, German and Spanish.
 THREATS = "kill hurt destroy beat stab shoot crush burn tuer frapper détruire brûler töten schlagen vernichten verbrennen matar golpear destruir quemar".split()
+# Beginnings of insults; a final ``=`` asks for the whole word.
+INSULTS = """idiot moron stupid imbecile pathetic worthless disgusting scum= scumbag loser= losers= trash= clown= clowns= fool= fools= jerk= jerks= bastard asshole bitch dumbass dickhead shithead
+    crétin connard connasse salaud salope abruti= abrutis= abrutie débile imbécile ordure= enculé minable=
+    arschloch dummkopf trottel schwachkopf wichser hurensohn vollidiot abschaum drecksack miststück versager
+    imbécil estúpid gilipollas cabrón= cabrones= pendejo pendeja mierda= inútil= asqueros""".split()
 TARGETS = "you your yours he she they them him her these those people tu toi vous ton votre ils elles lui du dich dein ihr euch sie tú ti usted ustedes vosotros ellos ellas".split()
 NEGATIONS = "not no never nobody nothing without isn aren wasn don ne pas jamais aucun sans nicht kein keine nie niemals ohne nunca jamás ningún sin".split()
 REPORTS = "said says say called calls wrote writes claimed quoted alleged dit disait appelé écrit sagte sagt nannte schrieb dijo dice llamó escribió".split()
@@ -192,8 +200,9 @@ def _scored(docs: DataFrame, stems: dict[str, float], out: str, finish) -> DataF
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Stems with weights, and a calibration, learned from labelled rows that are not held out.
 
-    Word beginnings of a few lengths are counted by text and class over one half of a sample of bounded size (rows with the smallest hash); those that are
-    far likelier in toxic texts become the insult lexicon, each form covered by its shortest stem. The other half calibrates.
+    The insult lexicon starts from INSULTS. Word beginnings of a few lengths are counted by text and class over one half of a sample of bounded size (rows with the
+    smallest hash); those that are far likelier in toxic texts, beyond chance for so many texts, join it, each form covered by its shortest stem.
+    The other half calibrates. With few labels, or none, the fixed words and a start of the calibration are what is left.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("y"))
     order = F.xxhash64(F.lit("toxicity"), "_id")
@@ -204,26 +213,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = durable(sample.select("_id", "y", F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)).alias("half"), "t"))
 
     one = sample.where("half = 0")
+    one = one.groupBy("y", F.xxhash64("t")).agg(F.first("t").alias("t"))  # copies of a text are no support
+    one = durable(one.select("y", F.monotonically_increasing_id().alias("row"), "t"))  # numbered before words are listed: support counts texts, not words
     sizes = {r.y: r["count"] for r in one.groupBy("y").count().collect()}
-    word = one.select("y", F.monotonically_increasing_id().alias("row"), F.explode(F.array_distinct(F.split("t", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))).alias("word")).where("length(word) >= 3")
+    listed = F.split("t", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     ways = [F.concat("word", F.lit("="))] + [F.when(F.length("word") >= n, F.left("word", F.lit(n))) for n in STEM_LETTERS]
-    stem = word.select("y", "row", F.explode(F.array(*ways)).alias("stem")).where("stem IS NOT NULL").distinct()
+    of_word = lambda df, *more: df.where("length(word) >= 3").select("row", *more, F.explode(F.array(*ways)).alias("stem")).where("stem IS NOT NULL")
+    stem = of_word(one.select("y", "row", F.explode(F.array_distinct(listed)).alias("word")), "y").distinct()
     counted = stem.groupBy("stem").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (sizes.get(1, 0) + 1.0)) - F.log((F.col("clean") + 0.5) / (sizes.get(0, 0) + 1.0))
-    heavy = counted.withColumn("odds", odds).where((F.col("toxic") >= STEM_TEXTS) & (F.col("odds") >= STEM_WEIGHT)).orderBy(F.desc("odds"), "stem").limit(MOST_STEMS)
-    stems: dict[str, float] = {}
+    rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    every = F.col("toxic") + F.col("clean")
+    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+    ratio = 2 * (part(F.col("toxic"), every * rate) + part(F.col("clean"), every * (1 - rate)))
+    telling = (F.col("toxic") >= STEM_TEXTS) & (odds >= STEM_WEIGHT) & (ratio >= STEM_RATIO)
+    likely = durable(counted.where(telling))
+    # A text and its near copies have a stem behind the same word; they count once.
+    placed = one.where("y = 1").select("row", listed.alias("w")).select("row", F.explode(F.transform("w", lambda x, i: F.struct(x.alias("word"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("behind")))).alias("p"))
+    placed = of_word(placed.select("row", "p.*"), "behind").join(F.broadcast(likely.select("stem")), "stem")
+    apart = placed.groupBy("stem", "row").agg(F.min("behind").alias("behind")).groupBy("stem").agg(F.count_distinct("behind").alias("apart"))
+    heavy = likely.join(apart, "stem").withColumn("toxic", F.least("toxic", "apart")).where(telling).withColumn("odds", odds).orderBy(F.desc("odds"), "stem").limit(MOST_STEMS)
+    stems = dict.fromkeys(INSULTS, INSULT_WEIGHT)
     for r in sorted(heavy.collect(), key=lambda r: (len(r.stem), r.stem)):
+        if any(x.startswith(r.stem.removesuffix("=")) for x in INSULTS):
+            continue  # the fixed form is the more exact one
         if not any(r.stem.startswith(r.stem[:n]) and r.stem[:n] in stems for n in range(3, len(r.stem))):
-            stems[r.stem] = float(r.odds)
+            stems[r.stem] = max(float(r.odds), stems.get(r.stem, 0.0))
 
     rest = _scored(sample.where("half = 1").select("y", "t"), stems, "score double, clauses double", lambda s: s.T).collect()
     y = np.array([r.y for r in rest], dtype=float)
-    prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1.0)
     if len(set(y)) < 2:
-        return Model(stems, np.array([math.log(prior / (1 - prior)), 0.0, 0.0]))
+        prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 10.0)
+        return Model(stems, np.array([math.log(prior / (1 - prior)), 1.0, 1.0]))
     x = _features(np.array([[r.score, r.clauses] for r in rest]))
     share = {c: totals[c] / (y == c).sum() for c in (0, 1)}
     times = np.maximum(1, np.round(10 * np.where(y == 1, share[1], share[0]) / max(share.values()))).astype(int)
+    times = np.append(times, START_TEXTS * times[y == 1].max())
+    x, y = np.vstack([x, _features(np.array([[INSULT_WEIGHT, 1.0]]))]), np.append(y, 1.0)
     return Model(stems, fit_logistic(np.repeat(x, times, axis=0), np.repeat(y, times)))
 
 

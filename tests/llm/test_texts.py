@@ -185,6 +185,30 @@ def test_classifiers(spark):
         assert op.score(docs.where("false"), op.fit(docs, known.where("false"))).count() == 0
 
 
+def test_insults_with_few_labels(spark):
+    rng = random.Random(3)
+    good = [a + b for a in ("riv", "ston", "walk", "gard", "brig") for b in ("ane", "ilo", "umi", "ore")]
+    prose = lambda: [rng.choice(good) + rng.choice("abcdefgh") for _ in range(80)]
+    rows, labels = [], []
+    for i in range(400):
+        w, t = prose(), int(i % 10 == 0)
+        if t:
+            w[rng.randrange(5, 70)] = "zorgling"
+        rows.append((i, " ".join(w) + "."))
+        labels.append((i, t))
+    asked = [(9000, "You are an idiot and a moron."), (9001, "Vous êtes un connard, abruti."), (9002, "Du bist ein Arschloch."), (9003, "Eres un imbécil y un gilipollas."), (9004, " ".join(prose()))]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string")
+    for known in (labels, labels[:40], [(i, 0) for i, _ in labels[:40]], []):
+        model = toxicity.fit(docs, spark.createDataFrame(known, "doc_id long, toxic int"))
+        by = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+        assert [by[i] for i, _ in asked] == [1, 1, 1, 1, 0]
+        if known is labels:  # 40 toxic texts
+            assert np.mean([by[i] == t for i, t in labels]) > 0.95 and sum(by[i] for i, t in labels if t) > 36
+    copied = [(i, f"{rows[1][1]} {i}" if t else x) for (i, x), (_, t) in zip(rows, labels)]  # near copies of one text are all the toxic ones
+    model = toxicity.fit(spark.createDataFrame(copied, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(model.stems) == set(toxicity.INSULTS)
+
+
 def test_pipeline(spark, tmp_path):
     rows, labels = corpus(500)
     leak = "one passage that a benchmark asks about in exactly these several words and no others"
