@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, pieces, quality, secrets, simhash
@@ -23,18 +23,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each near-duplicate class; of rows that share this id one stays. A row without id counts by its text, after all ids."""
-    nameless = F.lit(1 << 62).bitwiseOR(F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)))
-    marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), nameless))
-    kept = simhash.near_duplicates(marked, id_col="_id").where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    one = F.row_number().over(Window.partitionBy("_id").orderBy("text", *[c for c in docs.columns if c != "text"]))
-    return marked.join(kept, "_id").withColumn("_n", one).where("_n = 1").select(*docs.columns)
+    """One row of each near-duplicate class: that with the smallest id, rows without id after all others; then by text and the other columns.
+
+    Classes are over texts (known by their hash), so rows that repeat an id with unrelated texts lie in different classes and each class keeps its own row.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    text = F.coalesce("text", F.lit(""))
+    own = {"_n": F.col("doc_id").isNull(), "_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_t": F.xxhash64(text), "_r": F.xxhash64(F.lit("rest"), *rest)}
+    marked = docs.withColumns(own)
+    classes = simhash.near_duplicates(docs.select(F.xxhash64(text).alias("_t"), "text"), id_col="_t").select(F.col("doc_id").alias("_t"), "component_id").distinct()
+    first = marked.groupBy("_t").agg(F.min(F.struct("_n", "_i", "_t", "_r")).alias("b"))
+    kept = first.join(classes, "_t").groupBy("component_id").agg(F.min("b").alias("b")).select("b.*")
+    return marked.join(kept, list(own), "left_semi").dropDuplicates(list(own)).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; rows without id stay."""
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item. A text is known by its hash: rows without id are searched too, and rows that only share an id with a leak stay."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = decontaminate.leaks(docs.select(text.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.withColumn("_t", text).join(found.select(F.col("doc_id").alias("_t")).distinct(), "_t", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

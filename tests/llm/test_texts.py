@@ -223,3 +223,19 @@ def test_pipeline(spark, tmp_path):
     clean = [i for i, q, _ in labels if q and i % 50]
     assert sum(i in ids for i in clean) > 0.97 * len(clean)
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
+
+
+def test_pipeline_with_repeated_and_null_ids(spark, tmp_path):
+    rng = random.Random(5)
+    prose = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(90))
+    a, b, c, d = prose(), prose(), prose(), prose()
+    rows = [(3, a, "x"), (3, b, "x"), (10, a, "x"), (11, b, "x"), (3, b, "x"), (None, b, "x"), (None, c, "y"), (None, c, "x"), (12, d, None), (12, d, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(3, a), (3, b), (None, c), (12, d)])
+    leak = "one passage that a benchmark asks about in exactly these several words and no others"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(3, f"{a} {leak}", "x"), (3, b, "x"), (None, f"{c} {leak}", "x"), (None, d, "x"), (4, None, "x"), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(3, b), (None, d), (4, None), (5, "")])
