@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, licenses, pieces, quality, secrets, sharding, simhash, topk, toxicity, warc
+from ledgerloom.llm import alignment, decontaminate, licenses, likelihood, pieces, quality, secrets, sharding, simhash, topk, toxicity, warc
 from ledgerloom.llm.oracles import ORACLES
 
+#: Where the public vocabulary files are.
+TOKENIZERS = "/opt/tokenizers"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -112,3 +115,17 @@ def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, decoded again."""
     return pieces.encode(table(spark, sf_dir, "documents"), pieces.load())
+
+
+@query
+def op12_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base quality rules and the log-likelihood ratio verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return likelihood.judge(docs, likelihood.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op13_incidence_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers, for every document."""
+    models = alignment.load(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), models)

@@ -76,17 +76,21 @@ def words(column: pa.Array, is_word: np.ndarray) -> Iterator[Words]:
     """The words of each slice; A-Z are lower-cased first."""
     for first, rows, raw, at in slices(column):
         low = LOWER[raw]
-        inside = is_word[low]
-        edge = at[:-1][at[:-1] < len(low)]
-        opens = inside.copy()
-        opens[1:] &= ~inside[:-1]
-        opens[edge] = inside[edge]
-        closes = inside.copy()
-        closes[:-1] &= ~inside[1:]
-        edge = edge[edge > 0] - 1
-        closes[edge] = inside[edge]
-        start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        yield Words(first, rows, low, raw, start, end, np.searchsorted(at, start, "right") - 1)
+        yield runs(first, rows, low, raw, at, is_word[low])
+
+
+def runs(first: int, rows: int, low: np.ndarray, raw: np.ndarray, at: np.ndarray, kind: np.ndarray) -> Words:
+    """Maximal runs of one kind within a row; ``kind`` has a number or truth value a byte, zero belongs to no run."""
+    edge = at[:-1][at[:-1] < len(kind)]
+    opens = kind != 0
+    opens[1:] &= kind[1:] != kind[:-1]
+    opens[edge] = kind[edge] != 0
+    closes = kind != 0
+    closes[:-1] &= kind[:-1] != kind[1:]
+    edge = edge[edge > 0] - 1
+    closes[edge] = kind[edge] != 0
+    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    return Words(first, rows, low, raw, start, end, np.searchsorted(at, start, "right") - 1)
 
 
 def power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,12 +110,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(w: Words) -> np.ndarray:
-    """64-bit hashes of all words of a slice, from one running sum over its bytes."""
-    up, down = power(len(w.buffer) + 1)
-    total = np.zeros(len(w.buffer) + 1, dtype=np.uint64)
-    np.cumsum((w.buffer.astype(np.uint64) + np.uint64(1)) * up[: len(w.buffer)], out=total[1:])
-    return mix((total[w.end] - total[w.start]) * down[w.start] + (w.end - w.start).astype(np.uint64))
+def word_hashes(w: Words, buffer: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of all words of a slice (of ``buffer`` instead of the lower-cased bytes, if given): running sums over pieces of about ``SLICE`` bytes,
+    so that memory beyond one number a word follows ``SLICE``, whatever the length of a text or a word."""
+    buffer = w.buffer if buffer is None else buffer
+    out = np.empty(len(w.start), dtype=np.uint64)
+    size = (w.end - w.start).astype(np.uint64)
+    i = 0
+    while i < len(w.start):
+        base = w.start[i]
+        j = max(i + 1, int(np.searchsorted(w.end, base + SLICE, "right")))
+        if w.end[i] - base > SLICE:
+            out[i] = _long_sum(buffer[base : w.end[i]])
+        else:
+            part = buffer[base : w.end[j - 1]]
+            up, down = power(SLICE + 1)
+            total = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
+            start = w.start[i:j] - base
+            out[i:j] = (total[w.end[i:j] - base] - total[start]) * down[start]
+        i = j
+    return mix(out + size)
+
+
+def _long_sum(part: np.ndarray) -> np.uint64:
+    """What the running sums give for one word that is longer than a slice."""
+    up, total = power(SLICE + 1)[0], 0
+    for at in range(0, len(part), SLICE):
+        piece = part[at : at + SLICE].astype(np.uint64) + np.uint64(1)
+        total += int((piece * up[: len(piece)]).sum(dtype=np.uint64)) * pow(int(_BASE), at, 1 << 64)
+    return np.uint64(total & ((1 << 64) - 1))
 
 
 def grams(hashes: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
