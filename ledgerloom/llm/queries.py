@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import alignment, decontaminate, licenses, likelihood, pieces, quality, secrets, sharding, simhash, topk, toxicity, warc
+from ledgerloom.llm import alignment, decontaminate, licenses, likelihood, pieces, quality, secrets, sharding, simhash, spelling, topk, toxicity, warc
 from ledgerloom.llm.oracles import ORACLES
 
 #: Where the public vocabulary files are.
@@ -129,3 +129,9 @@ def op13_incidence_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links between the tokens of two tokenizers, for every document."""
     models = alignment.load(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
     return alignment.align(table(spark, sf_dir, "documents"), models)
+
+
+@query
+def op11_trie_node_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
