@@ -5,13 +5,10 @@ Events: event_id, ts, job_id, type (log|progress|complete|error), progress, mess
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerloom.operators.sequence import carry_last, row_position, running_sum
 
@@ -64,32 +61,12 @@ def active_sessions(events: DataFrame, gap: str = "30 seconds") -> DataFrame:
 
 
 def until_terminal(events: DataFrame) -> DataFrame:
-    """Events up to and including the job's first terminal one; later ones are dropped."""
+    """Events up to and including the job's first terminal one; later ones are dropped. The stream form is in lifecycle.py."""
     at = F.struct("ts", "event_id")
     ends = events.where(F.col("type").isin(*TERMINAL)).groupBy("job_id").agg(F.min(at).alias("end"))
     return events.join(ends, "job_id", "left").where(F.col("end").isNull() | (at <= F.col("end"))).drop("end")
 
 
-def until_terminal_stream(events: DataFrame) -> DataFrame:
-    """Streaming form of :func:`until_terminal`: one closed-flag of state per job."""
-    schema = "event_id bigint, ts timestamp, job_id bigint, type string, progress bigint, message string"
-    cols = [c.split()[0] for c in schema.split(", ")]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closed = state.exists and state.get[0]
-        for batch in batches:
-            if closed:
-                continue
-            batch = batch.sort_values(["ts", "event_id"])
-            ends = batch.index[batch["type"].isin(TERMINAL)]
-            if len(ends):
-                batch, closed = batch.loc[: ends[0]], True
-            yield batch[cols]
-        state.update((closed,))
-
-    return events.select(*cols).groupBy("job_id").applyInPandasWithState(step, schema, "closed boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def transitions(states: DataFrame) -> DataFrame:
     """State changes of jobs with a flag for forbidden ones.  ``states``: job_id, event_id (rising), status."""
     t = carry_last(states, ["job_id"], "event_id", F.col("status"), "before", inclusive=False)

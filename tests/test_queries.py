@@ -13,7 +13,7 @@ NAMES = [
     "c14_zip_tables", "c21_compare_cells", "c26_match_by_number_share", "a09_segment_notes", "a10_segment_sections", "a15_resolve_grid", "a20_title_context", "s04_parse_whole",
     "s35_label_similarity", "v01_check_cells", "v02_column_shift", "v03_repair", "e10_balance_sheet", "e12_cash_flow", "e22_statement_compare", "j07_replace_once", "j12_delete_rows",
     "j13_add_rows", "w12_shift_positions", "i03_longest_contained", "i06_translate_labels", "i15_glossary_by_rows", "x01_multiset_compare", "t02_latest_state", "t05_until_terminal",
-    "t06_transitions", "p06_archive_validity",
+    "t06_transitions", "t05_stream_until_terminal", "t06_lifecycle", "t06_stream_lifecycle", "t08_stream_retention", "t09_stream_upsert", "p06_archive_validity",
 ]
 
 

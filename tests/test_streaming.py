@@ -39,13 +39,6 @@ def test_sessions(spark, tmp_path):
     assert rows(spark.table("sessions")) == rows(jb.active_sessions(batch, "12 hours"))
 
 
-def test_stop_at_terminal_event(spark, tmp_path):
-    batch, stream = events(spark, str(tmp_path / "ev"))
-    run(jb.until_terminal_stream(stream), "append", "terminal")
-    cols = SCHEMA.replace(",", "").split()[::2]
-    assert rows(spark.table("terminal").select("event_id")) == rows(jb.until_terminal(batch).select(*cols).select("event_id"))
-
-
 def test_append_log(spark, tmp_path):
     batch, stream = events(spark, str(tmp_path / "ev"))
     jb.append_log(stream, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination(120)
