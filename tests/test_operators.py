@@ -26,15 +26,49 @@ def served(edges):
     return out
 
 
-def test_rounds_and_fold_serve_alike(spark):
+def jobs_of(spark, action):
+    """How many jobs an action starts, and what it returns."""
+    sc = spark.sparkContext
+    group = f"jobs-{random.random()}"
+    sc.setJobGroup(group, "")
+    try:
+        return action(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_greedy_serves_in_order(spark):
     rnd = random.Random(5)
     edges = [(g, l, r, rnd.choice([0.3, 0.5, 0.5, 0.9]), r) for g in range(4) for l in range(9) for r in range(8) if rnd.random() < 0.6]
     df = spark.createDataFrame(edges, "g int, l bigint, r bigint, s double, o bigint")
-    want = served(edges)
-    for got in (assign.greedy(df, ["g"]), assign.greedy(df, ["g"], fold_limit=30), assign.rounds(df, ["g"])):
-        rows = got.collect()
-        assert {(r.g, r.l): r.r for r in rows} == want
-        assert len({(r.g, r.r) for r in rows}) == len(rows)
+    rows = assign.greedy(df, ["g"]).collect()
+    assert {(r.g, r.l): r.r for r in rows} == served(edges)
+    assert len({(r.g, r.r) for r in rows}) == len(rows)
+    keyed = df.select("g", F.struct("l", F.lit("x").alias("k")).alias("l"), F.struct("r").alias("r"), "s", F.struct("o").alias("o"))
+    assert {(r.g, r.l.l): r.r.r for r in assign.greedy(keyed, ["g"]).collect()} == served(edges)
+    assert assign.greedy(df.where("false"), ["g"]).count() == 0
+
+
+def test_one_preference_order_takes_a_fixed_number_of_jobs(spark):
+    few, many = ([(1, l, r, 1.0, r) for l in range(n) for r in range(n)] for n in (3, 400))
+    counts = []
+    for edges in (few, many):
+        df = spark.createDataFrame(edges, "g int, l bigint, r bigint, s double, o bigint").coalesce(1)
+        rows, n = jobs_of(spark, lambda df=df: assign.greedy(df, ["g"]).collect())
+        assert all(r.l == r.r for r in rows) and len(rows) == len({e[1] for e in edges})
+        counts.append(n)
+    assert counts[0] == counts[1]
+
+
+def test_first_free_is_greedy_over_shared_values(spark):
+    rnd = random.Random(6)
+    left, right = ({(rnd.randrange(4), i, rnd.randrange(12), rnd.choice(["won", "thousand"])) for i in range(40) for _ in range(2)} for _ in range(2))
+    edges = [(g, l, r, 0.0, r) for g, l, v, u in left for g2, r, v2, u2 in right if (g, v, u) == (g2, v2, u2)]
+    a, b = (spark.createDataFrame(sorted(x), f"g int, {k} bigint, value bigint, unit string").repartition(3) for x, k in ((left, "l"), (right, "r")))
+    assert {(r.g, r.l): r.r for r in assign.first_free(a, b, ["g"], ["unit", "value"]).collect()} == served(edges)
+    a, b = (spark.range(2000).select(F.lit(7).alias("g"), F.col("id").alias(k), F.lit(5).alias("value")) for k in "lr")
+    rows = assign.first_free(a, b, ["g"], ["value"]).collect()
+    assert len(rows) == 2000 and all(r.l == r.r for r in rows)
 
 
 def test_running_values_over_blocks(spark):
