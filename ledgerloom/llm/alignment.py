@@ -26,11 +26,15 @@ from ledgerloom.llm.shared import durable
 #: Pairs whose counts every task holds; the counts of all others are joined.
 HEAD = 1 << 18
 #: Chunks that a task keeps; beyond it the table starts anew between two texts.
-KEPT = 200_000
+KEPT = 400_000
 #: Characters split, and products expanded, at a time.
 SLICE = 1 << 20
 _CUT = re.compile(r" (?<=\S )(?=\S)")
 _LOW = 20
+# Fixed value: how the byte-level tokenizer cuts a text before merging
+_PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Chunks encoded in one call.
+_TOGETHER = 4096
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_shared", "n_best", "count_sum", "bad", "tail")
 
 
@@ -105,16 +109,32 @@ class Tokenizers:
         return Tokenizers, (self.a_json, self.b_model)
 
     @cached_property
-    def encoders(self) -> tuple[Callable[[list[str]], list[list[int]]], Callable[[list[str]], list[list[int]]]]:
+    def encoders(self) -> tuple[Callable[[str], list[int]], Callable[[str], list[int]]]:
+        """Ids of a text with a space before it, without special tokens.
+
+        If the JSON file is a plain byte-level BPE whose ids follow the order of its merges, its vocabulary is a table of ranks, which another library encodes faster. Texts with characters from U+0590 on
+        still go to the library of the file's format, as letters of late Unicode versions could be classed differently.
+        """
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         a, b = Tokenizer.from_str(self.a_json), sentencepiece.SentencePieceProcessor(model_proto=self.b_model)
         a.encode_special_tokens = True
-        return lambda texts: [x.ids for x in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], lambda texts: b.encode(texts, num_threads=1)
+        spec = json.loads(self.a_json)
+        model, before = spec["model"], spec["pre_tokenizer"]
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        first = len(model["vocab"]) - len(merged)
+        plain = spec["normalizer"] is None and before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not model.get("ignore_merges")
+        slow = lambda text: a.encode(" " + text, add_special_tokens=False).ids
+        encode_a = slow
+        if plain and first == 256 and all(model["vocab"][m] == first + k for k, m in enumerate(merged)):
+            ranks = tiktoken.Encoding("ranks", pat_str=_PRETOKENS, mergeable_ranks={self.bytes_a[i]: i for i in model["vocab"].values()}, special_tokens={})
+            encode_a = lambda text: ranks.encode_ordinary(" " + text) if text.isascii() or max(text) < "\u0590" else slow(text)
+        return encode_a, b.encode
 
     @cached_property
     def bytes_a(self) -> list[bytes]:
@@ -149,6 +169,7 @@ class Chunks:
     def __init__(self, models: Tokenizers, head: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
         self.models, self.head = models, head
         self.long_a, self.long_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (models.bytes_a, models.bytes_b))
+        self.listed_a, self.listed_b = ([np.array([f"{i}{end}" for i in range(len(t))], dtype=object) for end in ends] for t, ends in ((models.bytes_a, ",|"), (models.bytes_b, ",;")))
         self.clear()
 
     def clear(self) -> None:
@@ -156,75 +177,93 @@ class Chunks:
         self.sums = np.zeros((1024, len(_SUMS)), dtype=np.int64)
         self.digests: list[str] = []
         self.codes: list[np.ndarray] = []
+        self.tails: dict[int, np.ndarray] = {}
+
+    def _encoded(self, fresh: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids of A, ids of B, tokens of each chunk in A, in B) in the order of ``fresh``; without tokens where either model doesn't give the bytes back.
+
+        Chunks that neither begin nor end with white space are encoded many at a time, with single spaces between them, and cut apart where their bytes end.
+        """
+        encode_a, encode_b = self.models.encoders
+        for s in range(0, len(fresh), _TOGETHER):
+            part = fresh[s : s + _TOGETHER]
+            joined = " ".join(part)
+            ids = np.array(encode_a(joined), dtype=np.int64), np.array(encode_b(joined), dtype=np.int64)
+            whole = (" " + joined).encode()
+            if all(b"".join(map(of.__getitem__, i.tolist())) == whole for i, of in zip(ids, (self.models.bytes_a, self.models.bytes_b))):
+                ends = np.cumsum(np.fromiter(map(len, map(str.encode, part)), dtype=np.int64, count=len(part)) + 1)
+                yield *ids, *(np.diff(np.searchsorted(np.cumsum(long[i]), ends, "right"), prepend=0) for i, long in zip(ids, (self.long_a, self.long_b)))
+            elif len(part) > 1:
+                for w in part:
+                    yield from self._encoded([w])
+            else:
+                yield (np.zeros(0, np.int64),) * 2 + (np.zeros(1, np.int64),) * 2
 
     def learn(self, fresh: list[str]) -> None:
         """Encode and align distinct chunks that are not known yet."""
         if not fresh:
             return
-        models, base = self.models, len(self.at)
+        odd = [w for w in fresh if w.strip() != w or not w]
+        if odd:
+            alone = set(odd)
+            fresh = [w for w in fresh if w not in alone] + odd
+        found = [*self._encoded(fresh[: len(fresh) - len(odd)]), *(x for w in odd for x in self._encoded([w]))]
+        a, b, n_a, n_b = (np.concatenate(x) for x in zip(*found))
+        base = len(self.at)
         need = base + len(fresh)
+        self.at.update(zip(fresh, range(base, need)))
         if need > len(self.sums):
             self.sums = np.vstack([self.sums, np.zeros((max(need, 2 * len(self.sums)) - len(self.sums), len(_SUMS)), dtype=np.int64)])
-        encode_a, encode_b = models.encoders
-        ids_a, ids_b = encode_a(fresh), encode_b(fresh)
-        for k, w in enumerate(fresh):
-            self.at[w] = base + k
-            whole = (" " + w).encode()
-            if b"".join(map(models.bytes_a.__getitem__, ids_a[k])) != whole or b"".join(map(models.bytes_b.__getitem__, ids_b[k])) != whole:
-                self.sums[base + k, 7] = 1
-                ids_a[k] = ids_b[k] = []
-        n_a, n_b = (np.array([len(x) for x in ids]) for ids in (ids_a, ids_b))
-        a, b = (np.array([i for x in ids for i in x], dtype=np.int64) for ids in (ids_a, ids_b))
         tokens_a, tokens_b = spans(self.long_a[a]), spans(self.long_b[b])
         group_a, group_b, n = groups(tokens_a.indptr[1:], tokens_b.indptr[1:])
         chunk_a = np.repeat(np.arange(len(fresh)), n_a)
-        found = [(row, column) for row, column, _ in product(tokens_a, tokens_b.transposed())]
-        row, column = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        linked = [(row, column) for row, column, _ in product(tokens_a, tokens_b.transposed())]
+        row, column = (np.concatenate([f[k] for f in linked]) if linked else np.zeros(0, np.int64) for k in (0, 1))
         count = lambda of, weights=None: np.bincount(of, weights=weights, minlength=len(fresh)).astype(np.int64)
         last_a = np.flatnonzero(np.diff(group_a, append=n))
         new = self.sums[base:need]
         new[:, 0], new[:, 1], new[:, 2], new[:, 3] = n_a, n_b, count(chunk_a[last_a]), count(chunk_a[row])
         new[:, 4] = count(chunk_a, widths(members(group_a, n), members(group_b, n).transposed()))
-        self._digest(a, b, group_a, group_b, n_a, n_b)
+        new[:, 7] = n_a == 0
         codes = a[row] << _LOW | b[column]
-        if self.head is not None:
-            at = np.minimum(np.searchsorted(self.head[0], codes), max(len(self.head[0]) - 1, 0))
-            hit = self.head[0][at] == codes if len(self.head[0]) else np.zeros(len(codes), dtype=bool)
-            np.add.at(new[:, 5], chunk_a[row][hit], self.head[2][at[hit]])
-            np.add.at(new[:, 6], chunk_a[row][hit], self.head[1][at[hit]])
-            codes, row = codes[~hit], row[~hit]
-            new[:, 8] = count(chunk_a[row])
-        self.codes += np.split(codes, np.cumsum(count(chunk_a[row]))[:-1])
-
-    def _digest(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        if self.head is None:
+            self.codes.append(codes)
+            return
+        self._digest(a, b, group_a, group_b, n_a + n_b)
+        at = np.minimum(np.searchsorted(self.head[0], codes), max(len(self.head[0]) - 1, 0))
+        hit = self.head[0][at] == codes if len(self.head[0]) else np.zeros(len(codes), dtype=bool)
+        np.add.at(new[:, 5], chunk_a[row][hit], self.head[2][at[hit]])
+        np.add.at(new[:, 6], chunk_a[row][hit], self.head[1][at[hit]])
+        new[:, 8] = count(chunk_a[row[~hit]])
+        if not hit.all():
+            for k, rest in zip(np.flatnonzero(new[:, 8]).tolist(), np.split(codes[~hit], np.cumsum(new[new[:, 8] > 0, 8])[:-1])):
+                self.tails[base + k] = rest
+
+    def _digest(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n: np.ndarray) -> None:
         """Groups of each chunk as text: ids of one side, a bar, ids of the other, semicolons between groups."""
         ends_a, ends_b = np.diff(group_a, append=-1) != 0, np.diff(group_b, append=-1) != 0
-        at_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
-        at_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
         parts = np.empty(len(a) + len(b), dtype=object)
-        parts[at_a] = [f"{i}|" if e else f"{i}," for i, e in zip(a.tolist(), ends_a.tolist())]
-        parts[at_b] = [f"{i};" if e else f"{i}," for i, e in zip(b.tolist(), ends_b.tolist())]
-        listed, lo = parts.tolist(), 0
-        for n in (n_a + n_b).tolist():
-            self.digests.append("".join(listed[lo : lo + n])[:-1])
-            lo += n
-
-    def rows(self, text: str) -> Iterator[np.ndarray]:
-        """The chunks of a text by number, a slice of the text at a time."""
-        lo = 0
+        parts[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = np.where(ends_a, self.listed_a[1][a], self.listed_a[0][a])
+        parts[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = np.where(ends_b, self.listed_b[1][b], self.listed_b[0][b])
+        listed, ends = parts.tolist(), np.cumsum(n).tolist()
+        self.digests += ["".join(listed[lo:hi])[:-1] for lo, hi in zip([0, *ends], ends)]
+
+    def rows(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(chunks of these texts by number, how many each text has): for one text a slice of it at a time, for several (a slice together) all at once."""
+        if len(texts) > 1:
+            split = [_CUT.split(t) for t in texts]
+            yield self._known([w for x in split for w in x]), np.array([len(x) for x in split])
+            return
+        text, lo = texts[0], 0
         while lo < len(text):
             cut = _CUT.search(text, lo + SLICE)
             split = _CUT.split(text[lo : cut.start() if cut else len(text)])
-            self.learn([w for w in dict.fromkeys(split) if w not in self.at])
-            yield np.fromiter(map(self.at.__getitem__, split), dtype=np.int64, count=len(split))
+            yield self._known(split), np.array([len(split)])
             lo = cut.end() if cut else len(text)
 
-    def ready(self, texts: list[str]) -> None:
-        """Learn the chunks of many short texts at once; start anew if too many are kept."""
-        if len(self.at) > KEPT:
-            self.clear()
-        fresh = dict.fromkeys(w for t in texts for w in _CUT.split(t))
-        self.learn([w for w in fresh if w not in self.at])
+    def _known(self, split: list[str]) -> np.ndarray:
+        self.learn(list(set(split).difference(self.at)))
+        return np.fromiter(map(self.at.__getitem__, split), dtype=np.int64, count=len(split))
 
 
 def _short(column: pa.Array) -> Iterator[list[str]]:
@@ -250,29 +289,26 @@ def pair_counts(docs: DataFrame, models: Tokenizers, text_col: str = "text") ->
         times = np.zeros(0, dtype=np.int64)
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            if len(chunks.codes):
-                each = np.array([len(c) for c in chunks.codes])
+            if chunks.codes:
+                met = len(chunks.at)
                 codes, at = np.unique(np.concatenate(chunks.codes), return_inverse=True)
-                total = np.zeros(len(codes), dtype=np.int64)
-                np.add.at(total, at, np.repeat(times[: len(each)], each))
-                met = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(codes[met]), pa.array(total[met])], names=["code", "n"])
+                total = np.bincount(at, weights=np.repeat(times[:met], chunks.sums[:met, 3]), minlength=len(codes)).astype(np.int64)
+                held = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(codes[held]), pa.array(total[held])], names=["code", "n"])
 
         for b in batches:
             for texts in _short(b.column(0)):
                 if len(chunks.at) > KEPT:
                     yield from flushed()
                     times = np.zeros(0, dtype=np.int64)
-                if len(texts) > 1:
-                    chunks.ready(texts)
-                elif len(chunks.at) > KEPT:
                     chunks.clear()
-                for t in texts:
-                    rows = np.concatenate([np.zeros(0, np.int64), *chunks.rows(t)])
-                    if len(chunks.at) > len(times):
-                        times = np.concatenate((times, np.zeros(max(len(chunks.at), 2 * len(times)) - len(times), dtype=np.int64)))
-                    if not chunks.sums[rows, 7].any():
-                        times += np.bincount(rows, minlength=len(times))
+                found = list(chunks.rows(texts))
+                if len(chunks.at) > len(times):
+                    times = np.concatenate((times, np.zeros(max(len(chunks.at), 2 * len(times)) - len(times), dtype=np.int64)))
+                for rows, sizes in [(np.concatenate([r for r, _ in found]), np.array([sum(len(r) for r, _ in found)]))] if len(found) > 1 else found:
+                    text = np.repeat(np.arange(len(sizes)), sizes)
+                    gone = np.bincount(text, weights=chunks.sums[rows, 7], minlength=len(sizes)) > 0
+                    times += np.bincount(rows[~gone[text]], minlength=len(times))
         yield from flushed()
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
@@ -300,24 +336,25 @@ def align(docs: DataFrame, models: Tokenizers, id_col: str = "doc_id", text_col:
         for b in batches:
             at = 0
             for texts in _short(b.column(1)):
-                if len(texts) > 1:
-                    chunks.ready(texts)
-                elif len(chunks.at) > KEPT:
+                if len(chunks.at) > KEPT:
                     chunks.clear()
-                sums, digests, tails = [], [], []
-                for t in texts:
-                    sha, total, tail = hashlib.sha256(), np.zeros(len(_SUMS), dtype=np.int64), [np.zeros(0, np.int64)]
-                    for k, rows in enumerate(chunks.rows(t)):
-                        total += chunks.sums[rows].sum(axis=0)
-                        sha.update((";" if k else "").encode() + ";".join(map(chunks.digests.__getitem__, rows.tolist())).encode())
-                        tail += [chunks.codes[r] for r in rows[chunks.sums[rows, 8] > 0].tolist()]
-                    gone = not t or total[7] > 0
-                    sums.append(total * 0 if gone else total)
-                    digests.append("" if gone else sha.hexdigest())
-                    tails.append(np.unique(np.concatenate(tail[:1] if gone else tail), return_counts=True))
+                table, shas = np.zeros((len(texts), len(_SUMS)), dtype=np.int64), [hashlib.sha256() for _ in texts]
+                tails = [[np.zeros(0, np.int64)] for _ in texts]
+                for k, (rows, sizes) in enumerate(chunks.rows(texts)):
+                    ends = np.cumsum(sizes)
+                    before = np.vstack([np.zeros((1, len(_SUMS)), np.int64), np.cumsum(chunks.sums[rows], axis=0)])
+                    table += before[ends] - before[ends - sizes]
+                    names = [chunks.digests[r] for r in rows.tolist()]
+                    for t, (lo, hi) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+                        shas[t].update((";" if k else "").encode() + ";".join(names[lo:hi]).encode())
+                    for t, r in zip(np.repeat(np.arange(len(texts)), sizes)[(rest := chunks.sums[rows, 8] > 0)].tolist(), rows[rest].tolist()):
+                        tails[t].append(chunks.tails[r])
+                gone = [not t or bad > 0 for t, bad in zip(texts, table[:, 7].tolist())]
+                table[gone] = 0
+                digests = ["" if g else x.hexdigest() for g, x in zip(gone, shas)]
+                tails = [np.unique(np.concatenate(x[:1] if g else x), return_counts=True) for g, x in zip(gone, tails)]
                 ends = pa.array(np.cumsum([0, *(len(c) for c, _ in tails)]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in tails]))) for k in (0, 1)]
-                table = np.array(sums)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *[pa.array(table[:, k]) for k in range(7)], pa.array(digests), *lists], names=["doc_id", *_SUMS[:7], "groups_sha256", "codes", "times"])
                 at += len(texts)
 
@@ -348,14 +385,12 @@ def links(docs: DataFrame, models: Tokenizers, shared: bool = False, id_col: str
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 split = _CUT.split(text) if text else []
-                for s in range(0, len(split), 4096):
-                    chunks.learn([w for w in dict.fromkeys(split[s : s + 4096]) if w not in chunks.at])
-                if any(chunks.sums[chunks.at[w], 7] for w in split):
+                if not split or any(chunks.sums[rows, 7].any() for rows, _ in chunks.rows([text])):
                     continue
                 at_a = at_b = 0
                 for s in range(0, len(split), 4096):
                     part = split[s : s + 4096]
-                    a, b = (np.array([i for x in encode(part) for i in x], dtype=np.int64) for encode in (encode_a, encode_b))
+                    a, b = (np.array([i for x in part for i in encode(x)], dtype=np.int64) for encode in (encode_a, encode_b))
                     left, right = spans(chunks.long_a[a]), spans(chunks.long_b[b])
                     if shared:
                         group_a, group_b, n = groups(left.indptr[1:], right.indptr[1:])

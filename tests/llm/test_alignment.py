@@ -6,6 +6,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import sentencepiece
+import tokenizers
 
 from ledgerloom.llm import alignment, queries
 
@@ -16,12 +18,16 @@ TEXTS = [
 ]
 
 
+WHOLE = tokenizers.Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+WHOLE.encode_special_tokens = True
+PIECES = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
+
+
 def reference(texts):
     """The contract by whole-text encoding and loops over bytes."""
-    encode_a, encode_b = MODELS.encoders
     rows, total = [], Counter()
     for t in texts:
-        a, b = (encode_a([t])[0], encode_b([t])[0]) if t else ([], [])
+        a, b = (WHOLE.encode(" " + t, add_special_tokens=False).ids, PIECES.encode(t)) if t else ([], [])
         spelled = [[MODELS.bytes_a[i] for i in a], [MODELS.bytes_b[i] for i in b]]
         if t and any(b"".join(s) != (" " + t).encode() for s in spelled):
             a = b = []
