@@ -3,7 +3,7 @@
 Every prefix of a word is a node of the forward trie, every suffix a node of the trie of reversed words, and nodes are whole numbers. A word is cut at each position into the pair
 (prefix node, suffix node), once with the position's code point left out and once with nothing left out. Two words differ by one replacement exactly if they share a pair of the first kind, and by
 one deletion exactly if a pair of the first kind of the longer equals a pair of the second kind of the shorter. The members of a pair differ in one code point, so the alphabet bounds their
-number; each learns their count and its best partner from the sorted members, and no list of pairs of words is made.
+number; each learns their count and its best partner from a window over the pair, and no list of pairs of words is made.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -24,7 +24,7 @@ from ledgerloom.llm.shared import durable
 #: One occurrence in so many loses a code point.
 ONE_IN = 97
 #: Distinct words a task adds up before it passes them on.
-KEPT = 500_000
+KEPT = 100_000
 #: Node numbers of one partition; the partition's number stands above them.
 _NODES = 40
 #: Words of up to so many bytes are hashed side by side, longer ones alone.
@@ -197,15 +197,19 @@ def near_words(counts: DataFrame, partitions: int | None = None) -> tuple[DataFr
             transform(sequence(0, size - 1), i -> struct(ahead[i] as p, back[size - i - 1] as s, if(i > 0 and substr(word, i + 1, 1) = substr(word, i, 1), 2, 1) as kind)))""")).alias("cut"),
     )
     # kind 0: nothing left out, at most one word a pair; 1 and 2: one code point left out, 2 where the one before it is the same (another way to the same shorter word)
-    group = cuts.groupBy("cut.p", "cut.s").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "id", F.col("cut.kind").alias("kind")))).alias("m")).where("size(m) > 1")
-    group = group.selectExpr("m", "filter(m, x -> x.kind = 0) as whole", "filter(m, x -> x.kind > 0) as cut", "filter(m, x -> x.kind = 1) as once").select("*", F.explode("m").alias("x"))
-    told = group.selectExpr(
-        "x.id as id", "-x.less as n",
-        "if(x.kind = 0, size(once), size(cut) - 1 + if(x.kind = 1, size(whole), 0)) as n_near",
-        "if(x.kind = 0, once, if(x.kind = 1, concat(whole, filter(slice(cut, 1, 2), y -> y.id <> x.id)), filter(slice(cut, 1, 2), y -> y.id <> x.id))) as others",
-    ).where("n_near > 0")
-    best = told.selectExpr("id", "n", "n_near", "array_min(transform(others, y -> struct(y.less as less, y.id as id))) as best")
-    return both.select("id", "word", "n"), best.groupBy("id").agg(F.min("n").alias("n"), F.sum("n_near").cast("long").alias("n_near"), F.min("best").alias("best"))
+    cuts = cuts.select("id", "n", "cut.*", F.struct((-F.col("n")).alias("less"), "id").alias("me"))
+    pair = Window.partitionBy("p", "s").orderBy(F.col("kind") == 0, "me").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    number = lambda test: F.count_if(test).over(pair)
+    kind = F.col("kind")
+    told = cuts.withColumns({
+        "n_cut": number(kind > 0), "n_once": number(kind == 1), "n_whole": number(kind == 0), "first": F.first("me").over(pair), "second": F.nth_value("me", 2).over(pair),
+        "whole": F.max(F.when(kind == 0, F.col("me"))).over(pair), "once": F.min(F.when(kind == 1, F.col("me"))).over(pair),
+    }).where("n_cut + n_whole > 1")
+    other = F.when(F.col("first.id") != F.col("id"), F.col("first")).when(F.col("n_cut") > 1, F.col("second"))
+    n_near = F.when(kind == 0, F.col("n_once")).otherwise(F.col("n_cut") - 1 + F.when(kind == 1, F.col("n_whole")).otherwise(0))
+    best = F.when(kind == 0, F.col("once")).when(kind == 1, F.least(other, "whole")).otherwise(other)
+    told = told.select("id", "n", n_near.alias("n_near"), best.alias("best")).where("n_near > 0")
+    return both.select("id", "word", "n"), told.groupBy("id").agg(F.min("n").alias("n"), F.sum("n_near").cast("long").alias("n_near"), F.min("best").alias("best"))
 
 
 def variants(counts: DataFrame, factor: int = 2, partitions: int | None = None) -> DataFrame:
