@@ -132,9 +132,25 @@ def test_containment_loses_nothing(spark):
     inner, outer = [word(rnd.randint(1, 5)) for _ in range(40)], [word(rnd.randint(1, 12)) for _ in range(40)]
     a, b = spark.createDataFrame([(x,) for x in inner], "x string"), spark.createDataFrame([(y,) for y in outer], "y string")
     got = {(r.x, r.y) for r in labels.contained_pairs(a, b, [], "x", "y").collect()}
+    assert got == {(r.x, r.y) for r in labels.contained_pairs(a, b, [], "x", "y", limit=40).collect()}
     assert got == {(x, y) for x in inner for y in outer if x in y}
 
 
+def test_keyed_containment_and_tokens_lose_nothing(spark):
+    rnd = random.Random(4)
+    word = lambda: " ".join(rnd.choice(["net", "cash", "a", "of", "bank", "b"]) for _ in range(rnd.randint(1, 4)))
+    left, right = ([(rnd.randrange(3), word()) for _ in range(50)] for _ in range(2))
+    a, b = spark.createDataFrame(left, "k int, x string"), spark.createDataFrame(right, "k int, y string")
+    same = {(k, x, y) for k, x in left for k2, y in right if k == k2}
+    for limit in (labels.AUTOMATON, 30):
+        assert {tuple(r) for r in labels.contained_pairs(a, b, ["k"], "x", "y", limit=limit).collect()} == {p for p in same if p[1] in p[2]}
+    got = {tuple(r) for r in labels.token_pairs(a, b, ["k"], "x", "y", lambda c: F.array_distinct(F.split(c, " ")), 0.5).collect()}
+    want = {p for p in same if 2 * len(set(p[1].split()) & set(p[2].split())) >= len(set(p[1].split()) | set(p[2].split()))}
+    assert want <= got <= same
+    none = a.where("false")
+    assert labels.contained_pairs(none, b, ["k"], "x", "y").count() == 0 == labels.contained_pairs(a, b.where("false"), ["k"], "x", "y").count()
+
+
 def test_fuzzy_candidates_lose_nothing(spark):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randint(2, 8)))
