@@ -298,6 +298,32 @@ SELECT pair_id, note_no,
        tpl_table, tpl_row, CAST(exp_cur AS [[str]]) AS value
 FROM row_pairs"""
 
+# bodies of the templates: per table a title and the table, and one header
+VIEWS["log_elements"] = """
+SELECT pair_id, tpl_table * 2 + k AS pos, CASE WHEN k = 0 THEN 'table' ELSE 'paragraph' END AS kind, CASE WHEN k = 0 THEN '' ELSE CONCAT('Note ', CAST(tpl_table AS [[str]])) END AS text
+FROM (SELECT DISTINCT pair_id, tpl_table FROM tpl_rows) t [[explode k -1 0]]
+UNION ALL SELECT DISTINCT pair_id, CAST(0 AS BIGINT), 'header', CONCAT('December 31, ', CAST(pair_id % 10000 - 1 AS [[str]])) FROM tpl_rows"""
+
+VIEWS["log_cells"] = """
+SELECT pair_id, tpl_table * 2 AS pos, row_idx, phys_col AS col_idx, text FROM tpl_cells"""
+
+# change log of every type, with numbers; some cells are written three times and some addresses are wrong
+VIEWS["log_changes"] = """
+SELECT pair_id, tpl_table * 100000 + tpl_row * 10 + k AS change_no, CASE WHEN k = 1 THEN type ELSE 'update_values' END AS type, tpl_table * 2 AS pos, CAST(NULL AS BIGINT) AS end_pos, tpl_row + CASE WHEN tpl_row % 13 = 7 AND k = 3 THEN 500 ELSE 0 END AS row_idx,
+       CASE WHEN tpl_row % 7 = 3 THEN CAST(0 AS BIGINT) ELSE CAST(2 AS BIGINT) END AS col_idx, CASE WHEN tpl_row % 2 = 0 THEN 'after' ELSE 'before' END AS side,
+       CASE WHEN k = 1 THEN value WHEN k = 2 THEN '9' ELSE '10' END AS value, CAST(NULL AS [[str]]) AS old, CAST(NULL AS [[str]]) AS new
+FROM changes [[explode k 1 2 3]] WHERE k = 1 OR tpl_row % 5 < 2
+UNION ALL
+SELECT pair_id, tpl_table * 100000 + 90000 + k,
+       CASE WHEN k = 1 THEN 'update_text' WHEN k = 2 THEN 'delete_table' WHEN k = 3 THEN 'delete_note' WHEN k = 4 THEN 'add_table' WHEN k = 5 THEN 'add_note' WHEN k = 6 THEN 'add_column' WHEN k = 7 THEN 'move' ELSE 'update_text' END,
+       tpl_table * 2 - CASE WHEN k IN (1, 3, 5) THEN 1 ELSE 0 END, CASE WHEN k IN (3, 5) THEN tpl_table * 2 + CASE WHEN (pair_id + tpl_table) % 22 = 0 THEN 2 WHEN (pair_id + tpl_table) % 33 = 0 THEN -5 ELSE 0 END END,
+       CAST(NULL AS BIGINT), CASE WHEN k = 6 THEN CAST(2 AS BIGINT) END, CASE WHEN (pair_id + tpl_table) % 2 = 0 THEN 'after' ELSE 'before' END, CASE WHEN k IN (1, 8) THEN CONCAT('Restated ', CAST(tpl_table AS [[str]])) ELSE '77' END, CAST(NULL AS [[str]]), CAST(NULL AS [[str]])
+FROM (SELECT DISTINCT pair_id, tpl_table FROM tpl_rows) t [[explode k 1 2 3 4 5 6 7 8]]
+WHERE (k = 1 AND (pair_id + tpl_table) % 3 = 0) OR (k = 2 AND (pair_id + tpl_table) % 7 = 0) OR (k = 3 AND (pair_id + tpl_table) % 11 = 0) OR (k = 4 AND (pair_id + tpl_table) % 5 = 0) OR (k = 5 AND (pair_id + tpl_table) % 6 = 1)
+   OR (k = 6 AND (pair_id + tpl_table) % 8 = 2) OR (k = 7 AND (pair_id + tpl_table) % 17 = 0) OR (k = 8 AND (pair_id + tpl_table) % 19 = 0)
+UNION ALL
+SELECT DISTINCT pair_id, CAST(99999999 AS BIGINT), 'restructure', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS [[str]]), CAST(NULL AS [[str]]), CAST(pair_id % 10000 - 1 AS [[str]]), CAST(pair_id % 10000 AS [[str]]) FROM tpl_rows"""
+
 
 def _macro(kind: str, body: str, duck: bool) -> str:
     if kind == "str":
