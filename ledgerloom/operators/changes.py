@@ -1,7 +1,7 @@
 """Change sets: generating them, resolving their addresses, applying them to cells.
 
 Cells:   pair_id, tpl_table, row_idx, phys_col, text [, vmerge]
-Changes: pair_id, type, tpl_table, row_idx, phys_col, value
+Changes: pair_id, type, tpl_table, row_idx, phys_col, value, change_no
 """
 
 from __future__ import annotations
@@ -48,18 +48,21 @@ def fill_report(filled: DataFrame, matches: DataFrame) -> DataFrame:
     return matches.join(n, TABLE, "left").na.fill(0, ["cells_updated", "cells_skipped"])
 
 
-def leftover_rows_by_place(src: DataFrame, tpl: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows without a value match paired in order, where both sides lost about equally many.
+def leftover_rows_by_place(src: DataFrame, tpl: DataFrame, matched: DataFrame, keys: list[str], slack: float | None = None) -> DataFrame:
+    """Rows without a value match in order, the k-th beside the k-th; a row with nothing beside it has NULL there, so none is lost.
 
-    ``src``: keys, src_row; ``tpl``: keys, tpl_row; ``matched``: keys, src_row, tpl_row.
+    ``src``: keys, src_row; ``tpl``: keys, tpl_row; ``matched``: keys, src_row, tpl_row. With ``slack`` only tables whose left-over counts differ by no more than
+    three, or that share of the source's, are paired.
     """
     def left(df, row):
         rest = df.select(*keys, row).join(matched.select(*keys, row), [*keys, row], "left_anti")
         return running_sum(rest, keys, row, F.lit(1), "k"), rest.groupBy(*keys).agg(F.count("*").alias("n" + row))
 
     (a, na), (b, nb) = left(src, "src_row"), left(tpl, "tpl_row")
-    ok = na.join(nb, keys).where(F.abs(F.col("nsrc_row") - F.col("ntpl_row")) <= F.greatest(F.lit(3.0), F.col("nsrc_row") * 0.5)).select(*keys)
-    return a.join(b, [*keys, "k"]).join(ok, keys, "left_semi").drop("k")
+    if slack is not None:
+        ok = na.join(nb, keys).where(F.abs(F.col("nsrc_row") - F.col("ntpl_row")) <= F.greatest(F.lit(3.0), F.col("nsrc_row") * slack)).select(*keys)
+        a, b = a.join(ok, keys, "left_semi"), b.join(ok, keys, "left_semi")
+    return a.join(b, [*keys, "k"], "full_outer").drop("k")
 
 
 def repair_totals(filled: DataFrame) -> DataFrame:
@@ -139,8 +142,8 @@ def shift_positions(positions: DataFrame, deletions: DataFrame, keys: list[str])
 
 def update_cells(cells: DataFrame, updates: DataFrame, guard: bool = True) -> DataFrame:
     """All cells with updates applied; ``status`` ok or skipped (a label stands there), NULL if untouched."""
-    # the latest change of a cell holds; without change numbers the largest value, whatever the input order
-    u = updates.groupBy(*CELL).agg((F.max_by("value", "change_no") if "change_no" in updates.columns else F.max("value")).alias("value"))
+    # the latest change of a cell holds, whatever the order of the rows
+    u = updates.groupBy(*CELL).agg(F.max_by("value", "change_no").alias("value"))
     j = cells.join(u, CELL, "left")
     asked = F.col("value").isNotNull()
     kept = is_label_cell("text") if guard else F.lit(False)
@@ -148,11 +151,6 @@ def update_cells(cells: DataFrame, updates: DataFrame, guard: bool = True) -> Da
         "text", F.when(asked & ~kept, F.col("value")).otherwise(F.col("text"))).drop("value")
 
 
-def lost_updates(cells: DataFrame, updates: DataFrame) -> DataFrame:
-    """Updates whose address is no cell."""
-    return updates.join(cells.select(*CELL), CELL, "left_anti")
-
-
 def delete_rows(cells: DataFrame, deleted: DataFrame) -> DataFrame:
     """Cells without the deleted rows, later rows moved up; a merge origin hands over to its next continuation."""
     gone = deleted.select(*TABLE, "row_idx").distinct().withColumn("gone", F.lit(1))
@@ -227,7 +225,7 @@ def add_tables(cells: DataFrame, additions: DataFrame, headers: int = 2) -> Data
 def apply_changes(cells: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Deletions, updates and additions in this order on original addresses, and the changes that failed.
 
-    ``changes``: CELL columns, type (delete_row, update_values, add_row), value.
+    ``changes``: CELL columns, type (delete_row, update_values, add_row), value, change_no. Whole change sets, with every type, are in changelog.py.
     """
     cells, changes = durable(cells), durable(changes)
     there = cells.select(*TABLE, "row_idx").distinct()
@@ -236,9 +234,9 @@ def apply_changes(cells: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
     updates = changes.where("type = 'update_values'")
     updated = update_cells(cells.join(doomed, [*TABLE, "row_idx"], "left_anti"), updates).drop("status")
     lost = updates.join(doomed, [*TABLE, "row_idx"], "left_semi").withColumn("problem", F.lit("row was deleted"))
-    adds = changes.where("type = 'add_row'").select(*TABLE, F.col("row_idx").alias("ref_row"), F.create_map("phys_col", "value").alias("values"), F.lit("after").alias("place")).join(
+    adds = changes.where("type = 'add_row'").select(*TABLE, F.col("row_idx").alias("ref_row"), F.create_map("phys_col", "value").alias("values"), F.lit("after").alias("place"), "change_no").join(
         doomed.withColumnRenamed("row_idx", "ref_row"), [*TABLE, "ref_row"], "left_anti")
-    adds = adds.withColumn("nth", F.row_number().over(Window.partitionBy(*TABLE, "ref_row").orderBy(F.map_values("values")[0])))
+    adds = adds.withColumn("nth", F.row_number().over(Window.partitionBy(*TABLE, "ref_row").orderBy("change_no")))
     rows = there.join(doomed.withColumn("gone", F.lit(1)), [*TABLE, "row_idx"], "left")
     rows = running_sum(rows, TABLE, "row_idx", F.coalesce("gone", F.lit(0)), "before", inclusive=False).where("gone is null")
     rows = durable(rows.select(*TABLE, "row_idx", (F.col("row_idx") - F.col("before")).alias("new_row")))

@@ -41,11 +41,12 @@ def error_pattern(exp_cur: Column, exp_pri: Column, found: Column) -> Column:
             .when(factor, "factor").otherwise("different"))
 
 
-def compare_statement_rows(src: DataFrame, out: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows by place: OK when the first two numbers agree, else WRONG or MISSING.  Both: keys, row_idx, nums."""
+def compare_statement_rows(src: DataFrame, out: DataFrame, keys: list[str], numbers: int | None = None) -> DataFrame:
+    """Rows by place: OK when the output begins with all numbers of the source row (the first ``numbers`` of them, if given), else WRONG or MISSING.  Both: keys, row_idx, nums."""
     j = src.withColumnRenamed("nums", "a").join(out.withColumnRenamed("nums", "b"), [*keys, "row_idx"], "left")
     na, nb = F.size("a"), F.size("b")
-    same = ((na >= 2) & (nb >= 2) & (F.slice("a", 1, 2) == F.slice("b", 1, 2))) | ((na == 1) & (nb >= 1) & (F.get("a", 0) == F.get("b", 0))) | ((na == 0) & (nb == 0))
+    n = na if numbers is None else F.least(na, F.lit(numbers))
+    same = F.when(na > 0, (nb >= n) & (F.slice("a", 1, n) == F.slice("b", 1, n))).otherwise(nb == 0)
     return j.select(*keys, "row_idx", F.when(F.col("b").isNull(), "MISSING").when(same, "OK").otherwise("WRONG").alias("status"))
 
 

@@ -12,6 +12,7 @@ from ledgerloom.operators import quality as ql
 from ledgerloom.operators import rows as rw
 from ledgerloom.operators import tables as tb
 from ledgerloom.operators import verify as vf
+from ledgerloom.operators.sequence import row_position
 from ledgerloom.plans import oracle as o
 from ledgerloom.plans.matching import _pass_sql
 from ledgerloom.plans.registry import query
@@ -308,12 +309,15 @@ def _x03(src, tpl):
 
 
 @query("x04_token_jaccard", ["documents", "benchmark"], """
-WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS a, list_distinct(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z]+')) AS b FROM documents)
-SELECT doc_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE CAST(len(list_intersect(a, b)) AS DOUBLE) / CAST(len(a) + len(b) - len(list_intersect(a, b)) AS DOUBLE) END AS sim FROM t""")
-def _x04(docs, _):
-    first = F.get(F.split("text", "\n"), 0)
-    t = docs.select("doc_id", tx.word_tokens("text").alias("a"), tx.word_tokens(first).alias("b"))
-    return t.select("doc_id", tx.jaccard(F.col("a"), F.col("b")).alias("sim"))
+WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS a FROM documents), i AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS b, COUNT(*) OVER () AS n, ROW_NUMBER() OVER (ORDER BY item_id) - 1 AS k FROM benchmark),
+ t AS (SELECT doc_id, item_id, a, b FROM d JOIN i ON i.k = doc_id % i.n)
+SELECT doc_id, item_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE CAST(len(list_intersect(a, b)) AS DOUBLE) / CAST(len(a) + len(b) - len(list_intersect(a, b)) AS DOUBLE) END AS sim FROM t""")
+def _x04(docs, items):
+    """Every document beside one benchmark item, all items in turn."""
+    n = items.count()
+    i = row_position(items.select(F.lit(1).alias("one"), "item_id", tx.word_tokens("text").alias("b")), ["one"], "item_id", "place").select("item_id", "b", (F.col("place") - 1).alias("k"))
+    t = docs.select("doc_id", tx.word_tokens("text").alias("a"), (F.col("doc_id") % F.lit(max(n, 1))).alias("k")).join(i, "k")
+    return t.select("doc_id", "item_id", tx.jaccard(F.col("a"), F.col("b")).alias("sim"))
 
 
 @query("e18_error_patterns", ["filled"], f"""
@@ -325,19 +329,20 @@ def _e18(f):
     return t.groupBy(ql.error_pattern(F.col("exp_cur"), F.col("exp_pri"), F.col("f")).alias("pattern")).agg(F.count("*").alias("n"))
 
 
-NUMS = "list_filter([{a}, {b}], lambda v: v IS NOT NULL)"
+NUMS = "list_filter([{a}, {b}, {a} - {b}{c}], lambda v: v IS NOT NULL)"
 
 
 @query("e22_statement_compare", ["filled"], f"""
-WITH r AS (SELECT pair_id, note_no, tpl_row, {NUMS.format(a='exp_cur', b='exp_pri')} AS a, CASE WHEN tpl_row % 13 <> 4 THEN {NUMS.format(a=o.whole('cur_text'), b=o.whole('pri_text'))} END AS b FROM filled),
- c AS (SELECT *, CASE WHEN b IS NULL THEN 'MISSING' WHEN (len(a) >= 2 AND len(b) >= 2 AND a[1] = b[1] AND a[2] = b[2]) OR (len(a) = 1 AND len(b) >= 1 AND a[1] = b[1]) OR (len(a) = 0 AND len(b) = 0) THEN 'OK' ELSE 'WRONG' END AS st FROM r)
+WITH r AS (SELECT pair_id, note_no, tpl_row, {NUMS.format(a='exp_cur', b='exp_pri', c='')} AS a, CASE WHEN tpl_row % 13 <> 4 THEN {NUMS.format(a=o.whole('cur_text'), b=o.whole('pri_text'), c=' + CASE WHEN tpl_row % 17 = 3 THEN 1 ELSE 0 END')} END AS b FROM filled),
+ c AS (SELECT *, CASE WHEN b IS NULL THEN 'MISSING' WHEN (len(a) > 0 AND len(b) >= len(a) AND a = b[1:len(a)]) OR (len(a) = 0 AND len(b) = 0) THEN 'OK' ELSE 'WRONG' END AS st FROM r)
 SELECT pair_id, note_no, CAST(COUNT(*) FILTER (st = 'OK') AS BIGINT) AS n_ok, CAST(COUNT(*) FILTER (st = 'WRONG') AS BIGINT) AS n_wrong, CAST(COUNT(*) FILTER (st = 'MISSING') AS BIGINT) AS n_missing, CAST(COUNT(*) AS BIGINT) AS n_rows,
  CAST(COUNT(*) FILTER (st = 'OK') AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS accuracy FROM c GROUP BY ALL""")
 def _e22(f):
     keys = ["pair_id", "note_no"]
-    a = f.select(*keys, F.col("tpl_row").alias("row_idx"), F.array_compact(F.array("exp_cur", "exp_pri")).alias("nums"))
+    a = f.select(*keys, F.col("tpl_row").alias("row_idx"), F.array_compact(F.array("exp_cur", "exp_pri", F.col("exp_cur") - F.col("exp_pri"))).alias("nums"))
     v = lambda c: nb.parse_whole(c).cast("bigint")
-    b = f.where("tpl_row % 13 <> 4").select(*keys, F.col("tpl_row").alias("row_idx"), F.array_compact(F.array(v("cur_text"), v("pri_text"))).alias("nums"))
+    off = F.when(F.col("tpl_row") % 17 == 3, 1).otherwise(0)
+    b = f.where("tpl_row % 13 <> 4").select(*keys, F.col("tpl_row").alias("row_idx"), F.array_compact(F.array(v("cur_text"), v("pri_text"), v("cur_text") - v("pri_text") + off)).alias("nums"))
     return ql.accuracy(ql.compare_statement_rows(a, b, keys), keys)
 
 

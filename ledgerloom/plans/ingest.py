@@ -83,8 +83,8 @@ LEGAL = "COALESCE(" + ", ".join(
 
 
 @query("a06_template_metadata", ["tpl_lines"], rf"""
-WITH h AS (SELECT doc_id, seq, style, {LT} AS t, file_name FROM tpl_lines WHERE seq < 50),
- c AS (SELECT doc_id, arg_min(COALESCE({LEGAL}, t), seq) AS company FROM h WHERE seq < 20 AND ({LEGAL} IS NOT NULL OR (style = 'Normal' AND t <> '' AND length(t) < 80 AND t NOT LIKE '(%')) GROUP BY doc_id),
+WITH h AS (SELECT doc_id, seq, style, {LT} AS t, file_name FROM tpl_lines),
+ c AS (SELECT doc_id, arg_min(COALESCE({LEGAL}, t), seq) AS company FROM h WHERE ({LEGAL} IS NOT NULL OR (style = 'Normal' AND t <> '' AND length(t) < 80 AND t NOT LIKE '(%')) GROUP BY doc_id),
  p AS (SELECT doc_id, arg_min(list_sort([CAST(regexp_extract(t, '(?i)December\s+31,\s+([0-9]{{4}})\s+and', 1) AS INT), CAST(regexp_extract(t, '(?i)December\s+31,\s+[0-9]{{4}}\s+and\s+([0-9]{{4}})', 1) AS INT)]), seq) AS y
    FROM h WHERE regexp_matches(t, '(?i)December\s+31,\s+[0-9]{{4}}\s+and\s+[0-9]{{4}}') GROUP BY doc_id),
  ys AS (SELECT doc_id, list_reverse_sort(list_distinct(flatten(list(list_transform(regexp_extract_all(t, '\b20[12][0-9]\b'), lambda z: CAST(z AS INT)))))) AS y FROM h GROUP BY doc_id),

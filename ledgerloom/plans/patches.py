@@ -63,13 +63,12 @@ def _b01(cells, rows):
 
 LEFT = """mt AS (SELECT pair_id, tpl_table AS tbl, src_row, tpl_row FROM row_pairs WHERE exp_pri = tpl_cur),
  a AS (SELECT pair_id, note_seq AS tbl, row_idx AS src_row FROM src_rows s WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.pair_id = s.pair_id AND mt.tbl = s.note_seq AND mt.src_row = s.row_idx)),
- b AS (SELECT pair_id, tpl_table AS tbl, row_idx AS tpl_row FROM tpl_base s WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.pair_id = s.pair_id AND mt.tbl = s.tpl_table AND mt.tpl_row = s.row_idx)),
- ok AS (SELECT x.pair_id, x.tbl FROM (SELECT pair_id, tbl, COUNT(*) AS n FROM a GROUP BY ALL) x JOIN (SELECT pair_id, tbl, COUNT(*) AS n FROM b GROUP BY ALL) y ON x.pair_id = y.pair_id AND x.tbl = y.tbl WHERE ABS(x.n - y.n) <= GREATEST(3, x.n * 0.5))"""
+ b AS (SELECT pair_id, tpl_table AS tbl, row_idx AS tpl_row FROM tpl_base s WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.pair_id = s.pair_id AND mt.tbl = s.tpl_table AND mt.tpl_row = s.row_idx))"""
 
 
 @query("j02_fill_by_position", ["src_rows", "tpl_base", "row_pairs"], f"""WITH {LEFT}
-SELECT a.pair_id, a.tbl, a.src_row, b.tpl_row FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY pair_id, tbl ORDER BY src_row) AS k FROM a) a JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY pair_id, tbl ORDER BY tpl_row) AS k FROM b) b
- ON a.pair_id = b.pair_id AND a.tbl = b.tbl AND a.k = b.k JOIN ok ON ok.pair_id = a.pair_id AND ok.tbl = a.tbl""")
+SELECT COALESCE(a.pair_id, b.pair_id) AS pair_id, COALESCE(a.tbl, b.tbl) AS tbl, a.src_row, b.tpl_row FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY pair_id, tbl ORDER BY src_row) AS k FROM a) a FULL JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY pair_id, tbl ORDER BY tpl_row) AS k FROM b) b
+ ON a.pair_id = b.pair_id AND a.tbl = b.tbl AND a.k = b.k""")
 def _j02(src, tpl, rows):
     m = rows.where("exp_pri = tpl_cur").select("pair_id", F.col("tpl_table").alias("tbl"), "src_row", "tpl_row")
     s = src.select("pair_id", F.col("note_seq").alias("tbl"), F.col("row_idx").alias("src_row"))
@@ -145,7 +144,7 @@ def _w12(rows, tpl):
 
 
 def _split(changes):
-    return changes.select("pair_id", "type", "tpl_table", F.col("tpl_row").alias("row_idx"), F.lit(2).cast("bigint").alias("phys_col"), "value")
+    return changes.select("pair_id", "type", "tpl_table", F.col("tpl_row").alias("row_idx"), F.lit(2).cast("bigint").alias("phys_col"), "value", (F.col("tpl_table") * 1000 + F.col("tpl_row")).alias("change_no"))
 
 
 def _cells(cells):

@@ -53,12 +53,12 @@ def report_years(dated: DataFrame, keys: list[str], year: str) -> DataFrame:
         *keys, F.col("cur").cast("string").alias("period_current"), F.coalesce("pri", F.col("cur") - 1).cast("string").alias("period_prior"))
 
 
-def template_metadata(lines: DataFrame) -> DataFrame:
-    """Company, type and years of a template from its first paragraphs.
+def template_metadata(lines: DataFrame, within: int | None = None, company_within: int | None = None) -> DataFrame:
+    """Company, type and years of a template from its paragraphs, the earliest that tells each.
 
-    ``lines``: doc_id, seq (from 0), style, text, file_name.
+    ``lines``: doc_id, seq (from 0), style, text, file_name. ``within`` and ``company_within`` look at so many first paragraphs only.
     """
-    head = lines.where(F.col("seq") < 50).withColumn("t", tx.strip("text"))
+    head = (lines if within is None else lines.where(F.col("seq") < within)).withColumn("t", tx.strip("text"))
     low = F.lower("t")
     cuts = [F.when(F.instr(low, s) > 0, F.rtrim(F.trim(F.substring("t", F.lit(1), F.instr(low, s) + len(s) - 1)), F.lit(","))) for s in COMPANY_SUFFIXES]
     legal = F.coalesce(*cuts)
@@ -67,13 +67,13 @@ def template_metadata(lines: DataFrame) -> DataFrame:
     both = r"(?i)December\s+31,\s+([0-9]{4})\s+and\s+([0-9]{4})"
     y1, y2 = (F.regexp_extract("t", both, i).try_cast("int") for i in (1, 2))
     years = F.transform(F.regexp_extract_all("t", F.lit(r"\b(20[12][0-9])\b"), 1), lambda y: y.cast("int"))
-    first20 = F.col("seq") < 20
+    early = F.lit(True) if company_within is None else F.col("seq") < company_within
     g = head.groupBy("doc_id").agg(
         # a legal suffix in a later line beats a plain first line only while no line was taken yet
-        F.min_by(candidate, F.when(first20 & legal.isNotNull(), F.col("seq"))).alias("legal"),
-        F.min(F.when(first20 & legal.isNotNull(), F.col("seq"))).alias("legal_seq"),
-        F.min_by(candidate, F.when(first20 & legal.isNull() & plain, F.col("seq"))).alias("plain"),
-        F.min(F.when(first20 & legal.isNull() & plain, F.col("seq"))).alias("plain_seq"),
+        F.min_by(candidate, F.when(early & legal.isNotNull(), F.col("seq"))).alias("legal"),
+        F.min(F.when(early & legal.isNotNull(), F.col("seq"))).alias("legal_seq"),
+        F.min_by(candidate, F.when(early & legal.isNull() & plain, F.col("seq"))).alias("plain"),
+        F.min(F.when(early & legal.isNull() & plain, F.col("seq"))).alias("plain_seq"),
         F.max(low.contains("consolidated")).alias("con"), F.max(low.contains("separate")).alias("sep"),
         F.min_by(F.struct(F.greatest(y1, y2).alias("c"), F.least(y1, y2).alias("p")), F.when(F.col("t").rlike(both), F.col("seq"))).alias("z"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list(years))), asc=False).alias("ys"),

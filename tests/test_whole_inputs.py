@@ -1,6 +1,7 @@
 """Nothing is cut away: whole labels, all numbers, all rows, absent columns."""
 
-from ledgerloom.operators import cells, changes, compare, glossary, rows, verify
+from ledgerloom.operators import cells, changes, compare, glossary, quality, rows, verify
+from ledgerloom.sources import documents
 
 
 def test_labels_that_differ_late(spark):
@@ -43,3 +44,26 @@ def test_context_letters_late_in_a_text(spark):
     assert shown(texts("xyz ")) == {("one", 0), ("two", 0), ("three", 0)}
     assert shown(texts(), fallback=2) == {("one", 0), ("two", 0)}
     assert glossary.context_entries(entries.where("false"), texts("가"), "text").count() == 0
+
+
+def test_metadata_told_late(spark):
+    lines = [(1, i, "Body", "x", "f.docx") for i in range(60)] + [(1, 60, "Body", "Acme Holdings Co., Ltd. and subsidiaries", "f.docx"), (1, 61, "Body", "December 31, 2024 and 2023, consolidated", "f.docx")]
+    df = spark.createDataFrame(lines, "doc_id int, seq int, style string, text string, file_name string")
+    r = documents.template_metadata(df).first()
+    assert (r.doc_type, r.period_current, r.period_prior) == ("consolidated", "2024", "2023") and r.company.startswith("Acme Holdings")
+    assert documents.template_metadata(df, within=50, company_within=20).first().period_current is None
+
+
+def test_third_numbers_are_compared(spark):
+    rows = lambda *r: spark.createDataFrame(r, "t int, row_idx int, nums array<int>")
+    a, b = rows((1, 1, [1, 2, 3]), (1, 2, [1, 2, 3]), (1, 3, [7]), (1, 4, []), (1, 5, [1])), rows((1, 1, [1, 2, 4]), (1, 2, [1, 2, 3]), (1, 3, [7, 8]), (1, 4, [1]))
+    told = lambda **k: [r.status for r in quality.compare_statement_rows(a, b, ["t"], **k).orderBy("row_idx").collect()]
+    assert told() == ["WRONG", "OK", "OK", "WRONG", "MISSING"] and told(numbers=2) == ["OK", "OK", "OK", "WRONG", "MISSING"]
+
+
+def test_leftover_rows_are_all_returned(spark):
+    src, tpl = spark.createDataFrame([(1, i) for i in range(9)], "t int, src_row int"), spark.createDataFrame([(1, 5)], "t int, tpl_row int")
+    none = spark.createDataFrame([], "t int, src_row int, tpl_row int")
+    got = {(r.src_row, r.tpl_row) for r in changes.leftover_rows_by_place(src, tpl, none, ["t"]).collect()}
+    assert got == {(0, 5), *((i, None) for i in range(1, 9))}
+    assert changes.leftover_rows_by_place(src, tpl, none, ["t"], slack=0.5).count() == 0
