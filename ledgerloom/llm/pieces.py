@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words kept from batch to batch in one task; beyond it the table starts anew.
-KEPT_WORDS = 400_000
+#: Words kept from batch to batch in one task; beyond it those not met since the last time it was reached are dropped.
+KEPT_WORDS = 150_000
 
 
 @dataclass(frozen=True)
@@ -34,9 +34,9 @@ class Vocabulary:
         return {p: i for i, p in enumerate(self.pieces) if i not in skip}
 
     @cached_property
-    def tails(self) -> set[str]:
-        """Whatever a piece may end with."""
-        return {p[i:] for p in self.ids if p.strip(SPACE) for i in range(len(p))}
+    def heads(self) -> set[str]:
+        """Whatever a piece may begin with."""
+        return {p[:i] for p in self.ids if p.strip(SPACE) for i in range(1, len(p) + 1)}
 
     @cached_property
     def rank(self) -> dict[str, int]:
@@ -108,12 +108,25 @@ class Encoder:
     def __init__(self, vocab: Vocabulary, keep: int = KEPT_WORDS) -> None:
         self.vocab, self.keep = vocab, keep
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.beside: dict[tuple[str, str], bool] = {}
+        self.goto: dict[str, tuple[str, tuple[tuple[int, str], ...]]] = {}
+        self.coded: dict[str, bytes] = {}
+        self.runs: dict[int, bytes] = {}
+        self.torn: set[str] = set()
+        self.wrong: set[str] = set()
         at = {i: bytes([b]) for b, i in enumerate(vocab.bytes_at)}
         self.spelled = [at[i] if i in at else b"" if i in vocab.special else p.replace(SPACE, " ").encode() for i, p in enumerate(vocab.pieces)]
         self.is_byte = np.zeros(len(vocab.pieces), dtype=bool)
         self.is_byte[list(vocab.bytes_at)] = True
 
+    def _next(self, key: str) -> tuple[str, tuple[tuple[int, str], ...]]:
+        """After reading ``key`` (a state and one more character): the longest end of it that some piece begins with, and the pieces it ends with, longest first."""
+        ends = [key[i:] for i in range(len(key))]
+        fits = tuple((len(e), e) for e in ends if e in self.vocab.ids or len(e) == 1)
+        found = self.goto[key] = next((e for e in ends if e in self.vocab.heads), ""), fits
+        return found
+
     def _stay(self, left: str, right: str) -> bool:
         """Whether merging leaves two neighbouring pieces as they are. Undo their merges, latest first: at each moment the pieces that touch
         must not have had a merge of their own that came before the one undone."""
@@ -137,27 +150,35 @@ class Encoder:
             else:
                 limit, right = b + 1, halves[right][0]
 
+    def _code(self, piece: str) -> bytes:
+        """A piece's ids; whether decoding them gives it back is tried here, once a piece."""
+        i = self.vocab.ids.get(piece)
+        ids = [i] if i is not None else [self.vocab.bytes_at[b] for b in piece.encode()]
+        if b"".join(map(self.spelled.__getitem__, ids)) != piece.replace(SPACE, " ").encode():
+            self.torn.add(piece)
+        found = self.coded[piece] = np.array(ids, dtype=np.int32).tobytes()
+        return found
+
     def _ids(self, pieces: list[str]) -> bytes:
-        out = []
-        for p in pieces:
-            i = self.vocab.ids.get(p)
-            out += [i] if i is not None else [self.vocab.bytes_at[b] for b in p.encode()]
-        return np.array(out, dtype=np.int32).tobytes()
+        coded = self.coded
+        return b"".join([coded.get(p) or self._code(p) for p in pieces])
 
     def _run(self, n: int) -> bytes:
-        key = SPACE * n
-        if key not in self.words:
+        if n not in self.runs:
             left: list[str] = []
-            merges(self.vocab, key, left)
-            self.words[key] = self._ids(left)
-        return self.words[key]
+            merges(self.vocab, SPACE * n, left)
+            self.runs[n] = self._ids(left)
+        return self.runs[n]
 
     def learn(self, words: list[str]) -> None:
         """Encode ``words`` (sorted, distinct, one leading mark each)."""
-        ids, tails, beside, stay = self.vocab.ids, self.vocab.tails, self.beside, self._stay
+        beside, goto, stay = self.beside, self.goto, self._stay
         if len(beside) > 2 * self.keep:
             beside.clear()
+        if len(goto) > 2 * self.keep:
+            goto.clear()
         last: list[str] = [""]
+        states = [""]
         word = ""
         for new in words:
             shared = 0
@@ -165,20 +186,14 @@ class Encoder:
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :]
-            word = new
+            del last[shared + 1 :], states[shared + 1 :]
+            word, state = new, states[shared]
             for end in range(shared + 1, len(word) + 1):
-                fits = [word[end - 1]]
-                start = end - 2
-                while start >= 0:
-                    piece = word[start:end]
-                    if piece in ids:
-                        fits.append(piece)
-                    elif piece not in tails:
-                        break
-                    start -= 1
-                for piece in reversed(fits):
-                    pair = (last[end - len(piece)], piece)
+                key = state + word[end - 1]
+                state, fits = goto.get(key) or self._next(key)
+                states.append(state)
+                for size, piece in fits:
+                    pair = (last[end - size], piece)
                     ok = beside.get(pair)
                     if ok is None:
                         ok = beside[pair] = stay(*pair)
@@ -190,7 +205,9 @@ class Encoder:
                 pieces.append(last[end])
                 end -= len(last[end])
             pieces.reverse()
-            self.words[word] = self._ids(pieces)
+            self.words[word[1:]] = self._ids(pieces)
+            if self.torn and not self.torn.isdisjoint(pieces):
+                self.wrong.add(word[1:])
 
     def _spaced(self, words: list[str]) -> bytes:
         """Ids of words that runs of marks part: ``words`` has an empty string for every mark beyond the first."""
@@ -199,7 +216,7 @@ class Encoder:
         for w in words:
             marks += 1
             if w:
-                own = self.words[SPACE + w]
+                own = self.words[w]
                 if marks > 1 and own[:4] == alone:  # the word keeps off its mark, which then joins the run before it
                     out += [self._run(marks), own[4:]]
                 else:
@@ -209,14 +226,27 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Piece ids of whole texts; a null or empty text has none."""
+        return [ids for ids, _ in self.encode_and_check(texts)]
+
+    def encode_and_check(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool]]:
+        """Piece ids of whole texts, and whether decoding gives each text back. A text is given back exactly if each of its words is, and a word if each of its pieces is, which is
+        tried once a piece; texts with runs of spaces, or with the mark itself, are decoded whole."""
         split = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
         if len(self.words) > self.keep:
-            self.words.clear()
-        fresh = set().union(*split)
+            self.older, self.words = self.words, {}
+        fresh = set().union(*split).difference(self.words)
         fresh.discard("")
-        self.learn(sorted(m for w in fresh if (m := SPACE + w) not in self.words))
-        known = {w: self.words[SPACE + w] for w in fresh}
-        return [np.frombuffer(self._spaced(x) if "" in x else b"".join(map(known.__getitem__, x)), dtype=np.int32) for x in split]
+        if self.older:
+            again = fresh.intersection(self.older)
+            self.words.update((w, self.older[w]) for w in again)
+            fresh -= again
+        self.learn(sorted([SPACE + w for w in fresh]))
+        known, out = self.words.__getitem__, []
+        for text, x in zip(texts, split):
+            ids = np.frombuffer(self._spaced(x) if "" in x else b"".join(map(known, x)), dtype=np.int32)
+            plain = text and "" not in x and SPACE not in text
+            out.append((ids, self.wrong.isdisjoint(x) if plain else self.decode(ids) == (text or "")))
+        return out
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of piece ids: byte pieces are joined as UTF-8 (wrong ones become U+FFFD), marks become spaces, the first one is dropped."""
@@ -236,10 +266,9 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 texts = part.column(1).to_pylist()
-                ids = encoder.encode(texts)
+                ids, back = map(list, zip(*encoder.encode_and_check(texts)))
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 low = np.concatenate(([0], np.cumsum(encoder.is_byte[np.concatenate(ids)]))).astype(np.int32)
-                back = [encoder.decode(x) == (t or "") for x, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(np.diff(ends)), pa.array(np.diff(low[ends])), pa.array(back)],
                     names=["doc_id", "ids", "n_tokens", "n_bytes", "round_trip"],
