@@ -15,8 +15,13 @@ from ledgerloom.functions.numbers import DASHES, format_amount, parse_whole
 from ledgerloom.functions.text import strip
 from ledgerloom.session import durable
 
-EMPTY_MARK = "(빈셀)"
-SHIFT_EXPECTED = "당기→current, 전기→prior"
+EMPTY_MARK = "(nothing there)"
+SHIFT_EXPECTED = "each column under its own heading"
+
+
+def _there(filled: DataFrame, column: str) -> Column:
+    """Whether a table has a column; where nothing is said it has."""
+    return F.coalesce(F.col(column), F.lit(True)) if column in filled.columns else F.lit(True)
 
 
 def check_cells(filled: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,7 +29,7 @@ def check_cells(filled: DataFrame, keys: list[str]) -> DataFrame:
 
     Cells of a table without such a column (``has_cur``, ``has_pri`` false, where given) are neither checked nor counted.
     """
-    there = lambda c: F.coalesce(F.col(c), F.lit(True)) if c in filled.columns else F.lit(True)
+    there = lambda c: _there(filled, c)
     long = filled.select(
         *keys, "row", "is_total", "row_texts", F.explode(F.array(
             F.struct(F.lit("current").alias("col_name"), F.col("exp_cur").alias("e"), F.col("cur_text").alias("raw"), there("has_cur").alias("there")),
@@ -43,12 +48,12 @@ def check_cells(filled: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def swapped_rows(filled: DataFrame, keys: list[str]) -> DataFrame:
-    """Per row: can a swap be told (``eligible``), and are current and prior swapped."""
+    """Per row: can a swap be told (``eligible``; not in a table without one of the columns), and are current and prior swapped."""
     f = filled.withColumns({"vc": parse_whole("cur_text"), "vp": parse_whole("pri_text")})
     e = F.col("vc").isNotNull() & F.col("vp").isNotNull() & (F.col("exp_cur") != 0) & (F.col("exp_pri") != 0) & (F.col("exp_cur") != F.col("exp_pri"))
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1
     swap = near("exp_cur", "vp") & near("exp_pri", "vc") & ~(near("exp_cur", "vc") & near("exp_pri", "vp"))
-    e = F.coalesce(e, F.lit(False))
+    e = F.coalesce(e, F.lit(False)) & _there(filled, "has_cur") & _there(filled, "has_pri")
     return f.select(*keys, "row", e.alias("eligible"), (e & F.coalesce(swap, F.lit(False))).alias("swapped"))
 
 
@@ -58,6 +63,11 @@ def column_shifts(swaps: DataFrame, keys: list[str]) -> DataFrame:
     return g.where((F.col("n_eligible") > 0) & (F.col("n_swapped") >= F.greatest(F.lit(1), F.floor(F.col("n_eligible") / 2))))
 
 
+def shifted_rows(swaps: DataFrame, keys: list[str]) -> DataFrame:
+    """The swapped rows of shifted tables."""
+    return swaps.where("swapped").join(column_shifts(swaps, keys).select(*keys), keys, "left_semi").select(*keys, "row")
+
+
 def find_errors(filled: DataFrame, keys: list[str]) -> DataFrame:
     """All errors; a shifted table is one error with row -1 and its swapped rows counted in ``found``."""
     cells = check_cells(filled, keys).where("verdict <> 'correct'").withColumnRenamed("verdict", "error_type")

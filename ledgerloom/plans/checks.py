@@ -14,7 +14,7 @@ from ledgerloom.operators import tables as tb
 from ledgerloom.operators import verify as vf
 from ledgerloom.operators.sequence import row_position
 from ledgerloom.plans import oracle as o
-from ledgerloom.plans.matching import _pass_sql
+from ledgerloom.plans.matching import _pass_sql, cascade_ctes, sections_of
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.rowwise import COMPARED, NUMBERS, SHARE, _amounts, number_sides
 from ledgerloom.plans.scalars import norm_label
@@ -36,7 +36,7 @@ def _checked(src: str) -> str:
      d AS (SELECT *, CASE WHEN e IS NULL THEN 'correct' WHEN blank AND els THEN 'correct' WHEN blank THEN 'EMPTY_CELL' WHEN COALESCE(ABS(e - v) <= 1, FALSE) THEN 'correct'
        WHEN is_total THEN 'TOTAL_MISMATCH' ELSE 'NUMBER_MISMATCH' END AS verdict FROM j)
      SELECT pair_id, tpl_table, row, col_name, verdict, CASE verdict WHEN 'correct' THEN NULL WHEN 'NUMBER_MISMATCH' THEN 'WARNING' ELSE 'CRITICAL' END AS severity,
-       {o.fmt('e')} AS expected, CASE WHEN verdict = 'EMPTY_CELL' AND t = '' THEN '(빈셀)' ELSE t END AS found FROM d)"""
+       {o.fmt('e')} AS expected, CASE WHEN verdict = 'EMPTY_CELL' AND t = '' THEN '(nothing there)' ELSE t END AS found FROM d)"""
 
 
 FILLED = "(SELECT pair_id, tpl_table, tpl_row AS row, is_total, exp_cur, exp_pri, cur_text, pri_text FROM filled)"
@@ -55,7 +55,7 @@ def _shifts(src: str) -> str:
 
 def _errors(src: str) -> str:
     return f"""(SELECT pair_id, tpl_table, row, col_name, verdict AS error_type, severity, expected, found FROM {_checked(src)} q WHERE verdict <> 'correct'
-      UNION ALL SELECT pair_id, tpl_table, CAST(-1 AS BIGINT), 'current/prior', 'COLUMN_SHIFT', 'CRITICAL', '당기→current, 전기→prior', CAST(n_swapped AS VARCHAR) FROM {_shifts(src)} q)"""
+      UNION ALL SELECT pair_id, tpl_table, CAST(-1 AS BIGINT), 'current/prior', 'COLUMN_SHIFT', 'CRITICAL', 'each column under its own heading', CAST(n_swapped AS VARCHAR) FROM {_shifts(src)} q)"""
 
 
 REPAIRED = f"""(WITH f AS {FILLED}, sw AS {_swaps('f')}, sh AS {_shifts('f')},
@@ -79,6 +79,30 @@ def _v02(f):
     return vf.column_shifts(vf.swapped_rows(_filled(f), K), K)
 
 
+@query("v02_shifted_rows", ["filled"], f"""
+SELECT s.pair_id, s.tpl_table, s.row FROM {_swaps(FILLED)} s JOIN {_shifts(FILLED)} h ON h.pair_id = s.pair_id AND h.tpl_table = s.tpl_table WHERE s.swapped""")
+def _v02_rows(f):
+    return vf.shifted_rows(vf.swapped_rows(_filled(f), K), K)
+
+
+def _one_column(f):
+    """Every fourth template table is taken to have no prior column, every fifth pair no current one in its first table."""
+    return _filled(f).withColumns({"has_cur": ~((F.col("pair_id") % 5 == 0) & (F.col("tpl_table") % 100 == 1)), "has_pri": F.col("tpl_table") % 4 != 0})
+
+
+ABSENT = "((col_name = 'prior' AND tpl_table % 4 = 0) OR (col_name = 'current' AND pair_id % 5 = 0 AND tpl_table % 100 = 1))"
+
+
+@query("v01_absent_columns", ["filled"], f"SELECT * FROM {_checked(FILLED)} q WHERE NOT {ABSENT}")
+def _v01_absent(f):
+    return vf.check_cells(_one_column(f), K)
+
+
+@query("v02_absent_columns", ["filled"], f"SELECT * FROM {_shifts(FILLED)} q WHERE tpl_table % 4 <> 0 AND NOT (pair_id % 5 = 0 AND tpl_table % 100 = 1)")
+def _v02_absent(f):
+    return vf.column_shifts(vf.swapped_rows(_one_column(f), K), K)
+
+
 @query("v03_repair", ["filled"], f"SELECT pair_id, tpl_table, row, cur_text, pri_text, fixed FROM {REPAIRED} q")
 def _v03(f):
     return vf.repair(_filled(f), K).select(*K, "row", "cur_text", "pri_text", "fixed")
@@ -98,6 +122,17 @@ def _x05(f):
     return vf.unresolved(_merged(f)).select(*K, "row", "col_name", "error_type")
 
 
+@query("b04_action_list", ["filled", "src_rows", "tpl_rows"], f"""
+WITH {cascade_ctes()}
+SELECT 'unresolved error' AS kind, pair_id, tpl_table AS at, row AS n, error_type AS what FROM {MERGED} e WHERE NOT fixed
+UNION ALL SELECT 'unmatched table', pair_id, note_seq, CAST(COUNT(*) AS BIGINT), note_no FROM src_rows s WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.pair_id = s.pair_id AND m.note_seq = s.note_seq) GROUP BY pair_id, note_seq, note_no""")
+def _b04_list(f, src, tpl):
+    """What is left to do: errors that repair didn't settle, and source tables that no pass of the cascade placed."""
+    errors = vf.unresolved(_merged(f)).select(F.lit("unresolved error").alias("kind"), "pair_id", F.col("tpl_table").alias("at"), F.col("row").alias("n"), F.col("error_type").alias("what"))
+    tables = tb.unmatched_sources(src, tb.match_cascade(src, tpl, sections_of(tpl)))
+    return errors.unionByName(tables.select(F.lit("unmatched table").alias("kind"), "pair_id", F.col("note_seq").alias("at"), F.col("n_rows").alias("n"), F.col("note_no").alias("what")))
+
+
 @query("e09_verify_counters", ["filled"], f"""
 SELECT pair_id, CAST(COUNT(*) AS BIGINT) AS cells_checked, CAST(COUNT(*) FILTER (verdict = 'correct') AS BIGINT) AS cells_correct, CAST(COUNT(*) FILTER (verdict <> 'correct') AS BIGINT) AS cells_wrong,
  CAST(COUNT(*) FILTER (severity = 'CRITICAL') AS BIGINT) AS critical FROM {_checked(FILLED)} q GROUP BY pair_id""")

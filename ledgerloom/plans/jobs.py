@@ -67,7 +67,7 @@ NOW = "TIMESTAMP '2024-01-20 00:00:00'"
 
 @query("t07_recover_stale", ["jobs"], f"""
 SELECT job_id, CASE WHEN status IN ('processing', 'queued') THEN 'failed' ELSE status END AS status, strftime(CASE WHEN status IN ('processing', 'queued') THEN {NOW} ELSE completed_at END, '%Y-%m-%d %H:%M:%S.%f') AS completed_at,
- CASE WHEN status IN ('processing', 'queued') THEN 'Server restarted during processing' END AS error FROM jobs""")
+ CASE WHEN status IN ('processing', 'queued') THEN 'still open when the service came up again' END AS error FROM jobs""")
 def _t07(jobs):
     return jb.recover_stale(jobs, F.expr(NOW)).select("job_id", "status", SHOWN("completed_at").alias("completed_at"), "error")
 

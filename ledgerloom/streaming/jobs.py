@@ -19,7 +19,7 @@ PROGRESS_WORDS = [
 ]
 TERMINAL = ["complete", "error"]
 NEXT_STATES = {"queued": ["processing", "failed"], "processing": ["completed", "failed", "cancelled"]}
-RESTART_ERROR = "Server restarted during processing"
+RESTART_ERROR = "still open when the service came up again"
 
 
 def estimated_progress(message) -> Column:
