@@ -140,25 +140,35 @@ def _e09(f):
     return vf.verify_counters(vf.check_cells(_filled(f), K), ["pair_id"])
 
 
-# flagship: match by prior value, take the matched rows, check the source against the template, sum up per pair
-@query("flagship_match_and_verify", ["src_rows", "tpl_rows"], f"""
+# flagship: match tables by prior value, take the matched rows, check what was filled in against the matched source rows, sum up per pair
+@query("flagship_match_and_verify", ["src_rows", "tpl_rows", "filled"], f"""
 WITH m AS (SELECT * FROM {_pass_sql('src_rows', 'tpl_rows', 'prior', False, 1)} z),
  x AS (SELECT m.pair_id, m.note_seq, m.tpl_table, s.row_idx AS l, t.row_idx AS r, t.cur_amt AS v, m.pair_id * 10000000 + m.note_seq * 1000 + m.tpl_table AS g, t.row_idx AS o, 0.0 AS s,
    {o.convert('s.pri_amt', 's.unit', 't.unit')} AS e FROM m JOIN src_rows s ON s.pair_id = m.pair_id AND s.note_seq = m.note_seq JOIN tpl_rows t ON t.pair_id = m.pair_id AND t.tpl_table = m.tpl_table
    WHERE t.cur_amt <> 0 AND t.cur_amt = {o.convert('s.pri_amt', 's.unit', 't.unit')}),
- w AS (SELECT * FROM {o.greedy('x')} z),
- c AS (SELECT CAST(g // 10000000 AS BIGINT) AS pair_id, COUNT(*) AS n FROM w GROUP BY 1),
+ w AS (SELECT CAST(g // 10000000 AS BIGINT) AS pair_id, (g // 1000) % 10000 AS note_seq, g % 1000 AS tpl_table, l, r FROM {o.greedy('x')} z),
+ fl AS (SELECT w.pair_id, w.tpl_table, w.r AS row, f.is_total, {o.convert('s.cur_amt', 's.unit', "'thousand'")} AS exp_cur, {o.convert('s.pri_amt', 's.unit', "'thousand'")} AS exp_pri, f.cur_text, f.pri_text
+   FROM w JOIN src_rows s ON s.pair_id = w.pair_id AND s.note_seq = w.note_seq AND s.row_idx = w.l JOIN filled f ON f.pair_id = w.pair_id AND f.tpl_table = w.tpl_table AND f.tpl_row = w.r),
+ ck AS (SELECT pair_id, tpl_table, row, COUNT(*) AS n, COUNT(*) FILTER (verdict <> 'correct') AS wrong, COUNT(*) FILTER (severity = 'CRITICAL') AS critical FROM {_checked('fl')} q GROUP BY ALL),
+ c AS (SELECT pair_id, COUNT(*) FILTER (wrong = 0) AS confirmed, SUM(n) AS checked, SUM(wrong) AS wrong, SUM(critical) AS critical FROM ck GROUP BY 1),
+ k AS (SELECT pair_id, COUNT(*) AS n FROM w GROUP BY 1),
  n AS (SELECT pair_id, COUNT(*) AS n_tables, SUM(CASE WHEN score >= 0.95 THEN 1 ELSE 0 END) AS perfect FROM m GROUP BY 1)
-SELECT n.pair_id, CAST(n.n_tables AS BIGINT) AS tables_matched, CAST(n.perfect AS BIGINT) AS perfect_tables, CAST(COALESCE(c.n, 0) AS BIGINT) AS rows_matched, CAST(COALESCE(c.n, 0) AS BIGINT) AS rows_confirmed FROM n LEFT JOIN c ON c.pair_id = n.pair_id""")
-def _flagship(src, tpl):
+SELECT n.pair_id, CAST(n.n_tables AS BIGINT) AS tables_matched, CAST(n.perfect AS BIGINT) AS perfect_tables, CAST(COALESCE(k.n, 0) AS BIGINT) AS rows_matched, CAST(COALESCE(c.confirmed, 0) AS BIGINT) AS rows_confirmed,
+ CAST(COALESCE(c.checked, 0) AS BIGINT) AS cells_checked, CAST(COALESCE(c.wrong, 0) AS BIGINT) AS cells_wrong, CAST(COALESCE(c.critical, 0) AS BIGINT) AS critical FROM n LEFT JOIN k ON k.pair_id = n.pair_id LEFT JOIN c ON c.pair_id = n.pair_id""")
+def _flagship(src, tpl, filled):
     m = tb.durable(tb.match_by_prior_value(src, tpl))
-    rows = tb.row_matches_by_value(src, tpl, m)
-    s = src.select(*tb.SRC, F.col("row_idx").alias("src_row"), nb.convert_unit("pri_amt", "unit", F.lit("thousand")).alias("expected"))
-    t = tpl.select(*tb.TPL, F.col("row_idx").alias("tpl_row"), F.col("cur_amt").alias("found"))
-    ok = rows.join(s, [*tb.SRC, "src_row"]).join(t, [*tb.TPL, "tpl_row"]).groupBy("pair_id").agg(
-        F.count("*").alias("rows_matched"), F.count_if(F.abs(F.col("expected") - F.col("found")) <= 1).alias("rows_confirmed"))
+    rows = tb.durable(tb.row_matches_by_value(src, tpl, m))
+    amount = lambda c: nb.convert_unit(c, "unit", F.lit("thousand"))
+    s = src.select(*tb.SRC, F.col("row_idx").alias("src_row"), amount("cur_amt").alias("exp_cur"), amount("pri_amt").alias("exp_pri"))
+    written = filled.select(*K, "tpl_row", "is_total", "cur_text", "pri_text", F.array("tpl_label", "cur_text", "pri_text").alias("row_texts"))
+    shown = rows.join(s, [*tb.SRC, "src_row"]).join(written, [*K, "tpl_row"]).withColumnRenamed("tpl_row", "row")
+    by_row = vf.verify_counters(vf.check_cells(shown, K), [*K, "row"])
+    total = lambda c: F.sum(c).alias(c)
+    told = by_row.groupBy("pair_id").agg(F.count_if(F.col("cells_wrong") == 0).alias("rows_confirmed"), total("cells_checked"), total("cells_wrong"), total("critical"))
     n = m.groupBy("pair_id").agg(F.count("*").alias("tables_matched"), F.count_if(F.col("score") >= 0.95).alias("perfect_tables"))
-    return n.join(ok, "pair_id", "left").na.fill(0, ["rows_matched", "rows_confirmed"])
+    k = rows.groupBy("pair_id").agg(F.count("*").alias("rows_matched"))
+    out = n.join(k, "pair_id", "left").join(told, "pair_id", "left").na.fill(0, ["rows_matched", "rows_confirmed", "cells_checked", "cells_wrong", "critical"])
+    return out.select("pair_id", "tables_matched", "perfect_tables", "rows_matched", "rows_confirmed", "cells_checked", "cells_wrong", "critical")
 
 
 # --- equations ---------------------------------------------------------------
