@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.shared import durable, numbered
+from ledgerloom.llm.shared import durable, numbered, unused
 
 KINDS = ("assign", "access", "hex", "pem", "grant")
 BASE = KINDS[:3]
@@ -22,10 +22,30 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as [0-9a-f]+ finds them
 PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*")
-GRANT = re.compile(r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")
+GRANT = re.compile(r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}")
+TOKEN_PART, TOKEN_HEAD = re.compile(r"[A-Za-z0-9_-]+"), re.compile(r"(?<![A-Za-z0-9_])eyJ")
+TOKEN_PARTS, TOKEN_LEAST = 3, 8
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 
+def web_tokens(text: str) -> list[tuple[int, int]]:
+    """Spans of three runs joined by dots, the first from its first "eyJ" on, each of eight characters or more (after "eyJ"). Every run is read once, so the time is linear in the text."""
+    if "eyJ" not in text:
+        return []
+    out, held, done = [], [], 0
+    for m in TOKEN_PART.finditer(text):
+        if held and (held[-1][1] != m.start() - 1 or text[m.start() - 1] != "."):
+            held = []
+        held = [*held[1 - TOKEN_PARTS :], m.span()]
+        if len(held) == TOKEN_PARTS and all(z - a >= TOKEN_LEAST for a, z in held[1:]) and held[0][0] >= done:
+            head = TOKEN_HEAD.search(text, held[0][0], held[0][1] - TOKEN_LEAST)
+            if head:
+                done = held[-1][1]
+                out.append((head.start(), done))
+                held = []
+    return out
+
+
 def find(text: str) -> list[tuple[int, str, int, int, str]]:
     """(kind number, kind, start, end, secret) of all candidates in a text, by start, then kind."""
     out = [(0, "assign", *m.span(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
@@ -34,7 +54,8 @@ def find(text: str) -> list[tuple[int, str, int, int, str]]:
     out += [(2, "hex", *m.span(), m[0]) for m in HEX.finditer(text)]
     if "-----BEGIN" in text:
         out += [(3, "pem", *m.span(), m[0]) for m in PEM.finditer(text)]
-    out += [(4, "grant", *m.span(), m[0]) for m in GRANT.finditer(text)]
+    grants = [m.span() for m in GRANT.finditer(text)] if "gh" in text else []
+    out += [(4, "grant", a, z, text[a:z]) for a, z in sorted({*grants, *web_tokens(text)})]
     return sorted(out, key=lambda x: (x[2], x[0]))
 
 
@@ -44,7 +65,7 @@ def candidates(docs: DataFrame, text_col: str = "text", carry: list[str] | None
     digest is SHA-256 of the secret itself (of an assignment: its value), so no secret leaves the scan. A null text is empty.
     """
     carry = carry or []
-    chosen = docs.select(*carry, F.col(text_col).alias("_text"))
+    chosen = docs.select(*carry, F.col(text_col).alias(unused(docs.select(*carry), "text")[0]))
     shape = T.StructType([*chosen.schema.fields[:-1], T.StructField("found", T._parse_datatype_string(FOUND))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,12 +108,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", shared_from: int = 3) -> DataFrame:
     """``docs`` with every live-looking secret in its text replaced by ``<kind>``; widely copied examples stay, as do all other columns."""
-    mark = [F.col(id_col).cast("string").alias("_repo"), F.xxhash64(text_col).alias("_tk")]
-    seen = candidates(docs.select(*mark, F.col(owner_col).cast("string").alias("_owner"), F.col(text_col).alias("_text")), "_text", ["_repo", "_tk", "_owner"])
-    spans = durable(seen.select("_repo", "_tk", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), F.explode("found").alias("f")).select("_repo", "_tk", "repo", "owner", "f.*"))
+    repo, key, repo2, key2, held = unused(docs, "repo", "key", "repo2", "key2", "marks")
+    mark = [F.col(id_col).cast("string").alias(repo), F.xxhash64(text_col).alias(key)]
+    seen = candidates(docs.select(*mark, F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text")).toDF("id", "key", "owner", "text"), "text", ["id", "key", "owner"])
+    spans = durable(seen.select("id", "key", F.col("id").alias("repo"), "owner", F.explode("found").alias("f")).select("id", "key", "repo", "owner", "f.*"))
     live = spans.join(ownership(spans).where(F.col("owners") < shared_from), "digest")
-    marks = live.groupBy("_repo", "_tk").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("_marks")).withColumnsRenamed({"_repo": "_r", "_tk": "_t"})
-    joined = docs.select("*", *mark).join(marks, F.col("_repo").eqNullSafe(F.col("_r")) & (F.col("_tk") == F.col("_t")), "left")
+    marks = live.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind")))).toDF(repo2, key2, held)
+    joined = docs.select("*", *mark).join(marks, F.col(repo).eqNullSafe(F.col(repo2)) & (F.col(key) == F.col(key2)), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, marks: pd.Series) -> pd.Series:
@@ -108,5 +130,5 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    text = F.when(F.col("_marks").isNull(), F.col(text_col)).otherwise(cut(text_col, "_marks"))
+    text = F.when(F.col(held).isNull(), F.col(text_col)).otherwise(cut(text_col, held))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

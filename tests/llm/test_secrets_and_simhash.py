@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import xxhash
 
+import corpus_pipeline
+
 from ledgerloom.llm import queries, secrets, simhash
 
 NASTY = [
@@ -113,3 +116,29 @@ def test_links_in_crowded_buckets(spark):
             got[r.root].add(r.fp)
         assert {frozenset(g) for g in got.values()} == {frozenset(map(signed, g)) for g in classes(prints, 4)}
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_tokens_of_three_parts_in_linear_time():
+    part = "a" * 8
+    good = f"eyJ{part}.{part}.{part}"
+    old = re.compile(r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    rng = random.Random(3)
+    texts = [good, f"x {good}. {good}.{part}", f"{good}.{good}", f"b-{good}", f"_{good}", f"eyJ{part}.{part}", f"eyJa.{part}.{part}", f"{part}.{good}"]
+    texts += ["".join(rng.choice(["eyJ", part, ".", "-", " ", "b"]) for _ in range(60)) for _ in range(400)]
+    for t in texts:
+        assert secrets.web_tokens(t) == [m.span() for m in old.finditer(t)], t
+    start = time.time()
+    assert secrets.find("eyJaaaaaaaa-" * 400_000) == []
+    assert time.time() - start < 20
+
+
+def test_redacted_and_stages_keep_columns_of_any_name(spark):
+    names = ["_repo", "key", "marks", "repo2", "TEXT_", "no_id", "id", "others"]
+    row = lambda i, t: (i, t, "en", "s", 1, *([i] * len(names)))
+    long = " ".join(f"word{k} and" for k in range(40))
+    rows = [row(1, f"{long} password = hunter2secret"), row(2, long + " unlike" * 30), row(None, "x " + long[::-1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` long" for n in names))
+    out = {r.doc_id: r for r in secrets.redacted(docs).collect()}
+    assert out[1].text.endswith("<assign>") and out[2].text == rows[1][1] and all(out[i][n] == i for i in (1, 2) for n in names)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and {r["_repo"] for r in kept.collect()} == {1, 2, None}
