@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +16,8 @@ from ledgerloom.llm.calibrate import fit_logistic, probability
 from ledgerloom.llm.shared import held_out
 
 THRESHOLD = 0.7
-#: At most so many labelled texts of each class are learned from, none longer than LONGEST bytes; so many bytes of each go into a dictionary.
-SAMPLE, LONGEST, SAMPLE_BYTES, DICTIONARY_BYTES = 1200, 65_536, 4096, 1_000_000
+#: At most so many labelled texts of each class are learned from, none longer than LONGEST bytes; a dictionary takes whole texts up to DICTIONARY_BYTES.
+SAMPLE, LONGEST, DICTIONARY_BYTES = 1200, 65_536, 500_000
 LEVEL = 3
 
 
@@ -49,16 +48,25 @@ def features(size: np.ndarray) -> np.ndarray:
     return np.column_stack([(bad - good) / (raw + 64.0), np.minimum(good, bad) / np.maximum(raw, 64.0)])
 
 
-def own_lines(texts: list[str], seen: Counter) -> list[str]:
-    """The texts without lines that other texts hold too: passages that are passed around tell nothing about a text's quality."""
-    return ["\n".join(x for x in t.split("\n") if seen[x] < 2) for t in texts]
+def book(texts: list[str], most: int = DICTIONARY_BYTES) -> bytes:
+    """A dictionary of whole texts in their order, as many as fit into ``most`` bytes; of a line that several texts hold one copy is kept."""
+    seen: set[str] = set()
+    out, size = [], 0
+    for t in texts:
+        lines = [x for x in dict.fromkeys(t.split("\n")) if x not in seen]
+        raw = "\n".join(lines).encode()
+        if raw and size + len(raw) < most:
+            seen.update(lines)
+            out.append(raw)
+            size += len(raw) + 1
+    return b"\n".join(out) or b" " * 8
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Two dictionaries and a calibration, learned from labelled rows that are not held out.
 
-    Of each class the ``sample`` rows with the smallest hash are taken (those over ``LONGEST`` bytes are passed over), half for the dictionary and half for the calibration, which is weighted by class
-    frequency. The driver holds these texts only, a bound that does not follow the corpus.
+    Of each class the ``sample`` ids with the smallest hash are taken, each with its first text in order (those over ``LONGEST`` bytes are passed over), half for the dictionary and half for the calibration,
+    which is weighted by class frequency. The driver holds these texts only, a bound that does not follow the corpus.
     """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y"))
     order = F.xxhash64(F.lit("quality"), "_id")
@@ -67,11 +75,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y in (0, 1):
         some = known.where(F.col("_y") == y).orderBy(order, "_id").limit(sample)
         picked = some if picked is None else picked.unionAll(some)
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(picked), "_id").where(F.octet_length("_t") <= LONGEST)  # 2 x sample rows
+    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(picked), "_id").where(F.octet_length("_t") <= LONGEST)
+    chosen = chosen.groupBy("_id", "_y").agg(F.min("_t").alias("_t"))  # 2 x sample rows, however often an id occurs
     rows = sorted((r._y, r._h, r._t or "") for r in chosen.select("_y", order.alias("_h"), "_t").collect())
     parts = {y: [t for c, _, t in rows if c == y] for y in (0, 1)}
-    seen = Counter(line for p in parts.values() for t in p for line in set(t.split("\n")))
-    books = {y: b"\n".join(t.encode()[:SAMPLE_BYTES] for t in own_lines(p[::2], seen) if t)[-DICTIONARY_BYTES:] or b" " * 8 for y, p in parts.items()}
+    books = {y: book(p[::2]) for y, p in parts.items()}
     rest = [(y, t) for y, p in parts.items() for t in p[1::2]]
     if len({y for y, _ in rest}) < 2:
         prior = totals.get(1, 0) / max(1, sum(totals.values())) if totals else 0.5

@@ -1,6 +1,7 @@
 """Licenses, leaks, pieces, WARC, classifiers and the pipeline on small tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import zstandard
 
 import corpus_pipeline
 from ledgerloom.llm import decontaminate, licenses, pieces, quality, queries, textkit, toxicity, warc
@@ -239,3 +241,24 @@ def test_pipeline_with_repeated_and_null_ids(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(3, b), (None, d), (4, None), (5, "")])
+
+
+def test_books_hold_whole_texts_and_one_copy_of_a_line():
+    assert quality.book(["a\nb", "b\nc\nc", "b", ""], 100) == b"a\nb\nc"
+    long = "x" * 5000
+    assert quality.book([long, "y" * 6000, "z"], 6000) == f"{long}\nz".encode()
+    assert quality.book([]) == b" " * 8
+
+
+def test_quality_scores_one_by_one(spark):
+    good, bad = b"the quick brown fox jumps over the lazy dog " * 40, b"BUY!! NOW!! $$$ CHEAP!! " * 40
+    model = quality.Model(good, bad, np.array([-0.5, 4.0, 1.5]))
+    texts = [None, "", "the quick brown fox jumps", "BUY!! NOW!! $$$ " * 30, "é漢字 😀", "the lazy dog " * 3000]
+    docs = spark.createDataFrame([(i, t, 1, "s") for i, t in enumerate(texts)] + [(None, "the", 1, "s")], "doc_id long, text string, score int, held_out string")
+    got = {r.doc_id: (r.held_out, r.score, r.predicted) for r in quality.score(docs, model).collect()}
+    for i, t in [*enumerate(texts), (None, "the")]:
+        raw = (t or "").encode()
+        size = [len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw)) for d in (good, bad)]
+        z = -0.5 + 4.0 * (size[1] - size[0]) / (len(raw) + 64) + 1.5 * min(size) / max(len(raw), 64)
+        p = 1 / (1 + math.exp(-z))
+        assert abs(got[i][1] - p) < 1e-9 and got[i][0] == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) and got[i][2] == int(p >= 0.7)
