@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, near-duplicates, benchmark leaks, secrets, pieces.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; between stages the documents are written and read again.
-Null ids, null and empty texts, repeated rows and empty tables pass through every stage as its docstring says; other columns are carried along.
+Null ids, null and empty texts, repeated rows and empty tables pass through every stage as its docstring says; other columns are carried along up to the last stage, which returns doc_id and pieces.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, pieces, quality, secrets, simhash
+from ledgerloom.llm.shared import unused
 from ledgerloom.session import shared_dir
 
 ORACLE_SQL = None
@@ -29,19 +30,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     text = F.coalesce("text", F.lit(""))
-    own = {"_n": F.col("doc_id").isNull(), "_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_t": F.xxhash64(text), "_r": F.xxhash64(F.lit("rest"), *rest)}
+    names = unused(docs, "no_id", "id", "key", "others")
+    own = dict(zip(names, (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.xxhash64(text), F.xxhash64(F.lit("rest"), *rest))))
     marked = docs.withColumns(own)
-    classes = simhash.near_duplicates(docs.select(F.xxhash64(text).alias("_t"), "text"), id_col="_t").select(F.col("doc_id").alias("_t"), "component_id").distinct()
-    first = marked.groupBy("_t").agg(F.min(F.struct("_n", "_i", "_t", "_r")).alias("b"))
-    kept = first.join(classes, "_t").groupBy("component_id").agg(F.min("b").alias("b")).select("b.*")
-    return marked.join(kept, list(own), "left_semi").dropDuplicates(list(own)).select(*docs.columns)
+    classes = simhash.near_duplicates(docs.select(F.xxhash64(text).alias("key"), "text"), id_col="key").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    first = marked.groupBy(F.col(names[2]).alias("key")).agg(F.min(F.struct(*names)).alias("b"))
+    kept = first.join(classes, "key").groupBy("component_id").agg(F.min("b").alias("b")).select("b.*")
+    return marked.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. A text is known by its hash: rows without id are searched too, and rows that only share an id with a leak stay."""
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    text, key = F.xxhash64(F.coalesce("text", F.lit(""))), unused(docs, "key")[0]
     found = decontaminate.leaks(docs.select(text.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.withColumn("_t", text).join(found.select(F.col("doc_id").alias("_t")).distinct(), "_t", "left_anti").select(*docs.columns)
+    return docs.withColumn(key, text).join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
