@@ -390,7 +390,7 @@ def _needed(names: list[str]) -> list[str]:
 
 
 def duckdb_ctes(names: list[str]) -> str:
-    parts = [f"{n} AS ({_render(VIEWS[n], True)})" for n in _needed(names)]
+    parts = [f"{n} AS MATERIALIZED ({_render(VIEWS[n], True)})" for n in _needed(names)]
     return "WITH " + ",\n".join(parts) if parts else ""
 
 
