@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.dates import replace_once
+from ledgerloom.functions.dates import replace_in_turn
 from ledgerloom.functions.numbers import format_amount, has_amount, is_amount_cell, is_label_cell, parse_whole
 from ledgerloom.functions.text import strip
 from ledgerloom.operators.rows import plausible_values
@@ -265,7 +265,7 @@ def roll_years(texts: DataFrame, header_rows: int = 3) -> DataFrame:
     ``texts``: doc_id, zone (header|footer|table|paragraph), row_idx, text, pairs, prose_pairs.
     """
     everywhere = F.col("zone").isin("header", "footer") | ((F.col("zone") == "table") & (F.col("row_idx") < header_rows))
-    new = F.when(everywhere, replace_once("text", F.col("pairs"))).when(F.col("zone") == "paragraph", replace_once("text", F.col("prose_pairs"))).otherwise(F.col("text"))
+    new = F.when(everywhere, replace_in_turn("text", F.col("pairs"))).when(F.col("zone") == "paragraph", replace_in_turn("text", F.col("prose_pairs"))).otherwise(F.col("text"))
     return texts.withColumn("new_text", new).withColumn("changed", F.col("new_text") != F.col("text"))
 
 
