@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.dates import replace_once
 from ledgerloom.functions.numbers import is_label_cell
 from ledgerloom.operators.sequence import running_sum
-from ledgerloom.session import durable
+from ledgerloom.session import stored
 
 BODY = ["pair_id", "pos"]
 ROW = [*BODY, "row_idx"]
@@ -63,7 +63,7 @@ class ChangeLog:
     @classmethod
     def of(cls, elements: DataFrame, cells: DataFrame, changes: DataFrame) -> ChangeLog:
         """With inputs written once, as every result reads them several times."""
-        return cls(durable(elements), durable(cells), durable(changes))
+        return cls(stored(elements), stored(cells), stored(changes))
 
     # --- what the changes address ---
 
