@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ FEWEST_WORDS = 50
 #: A text with a larger percentage of its words in repeated windows fails.
 MOST_REPEATED = 50
 
+#: Bits that tell texts which may have a label, 8 MB.
+FILTER_BITS = 1 << 26
+
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _NOT_BREAK = ~textkit.byte_class((0x0A, 0x0A))
@@ -171,20 +175,36 @@ def failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < FEWEST_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, weight: float = 4.0, most_labelled: int = 40_000) -> Model:
+def _maybe_in(keys: DataFrame, key: str, bits: int = FILTER_BITS):
+    """A test of a column: true for every value of ``key`` in ``keys``, false for most others. A bit a hash, of a fixed number of bits however many keys there are."""
+    word = keys.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h % 64 AS INT))")).alias("v"))
+    rows = word.toArrow()
+    marks = np.zeros(bits // 64, dtype=np.int64)
+    marks[rows["w"].to_numpy()] = rows["v"].to_numpy()
+    sent = keys.sparkSession.sparkContext.broadcast(marks)
+
+    @F.pandas_udf("boolean")
+    def met(h: pd.Series) -> pd.Series:
+        at = h.to_numpy()
+        return pd.Series((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return lambda c: met(F.pmod(F.xxhash64(c), F.lit(bits)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, weight: float = 4.0) -> Model:
     """Counts of the corpus over every row of ``docs``, counts of the trusted texts over those that ``labels`` (doc_id, quality) call good, and the threshold from labelled texts
     that pass the base rules (the others fail whatever their score).
 
-    Learns from at most ``most_labelled`` ids of either class, those of the smallest hashes: their list is broadcast, so no text is shuffled. Held-out ids teach nothing; an id labelled both ways
-    counts as bad. Neither the id nor any other column enters a score. Without labels every text is kept.
+    Learns from every labelled id but the held-out ones, which teach nothing; an id labelled both ways counts as bad. The labels meet the texts by a join of the two tables; only texts whose id
+    :func:`_maybe_in` doesn't rule out take part, so that texts without a label aren't shuffled. Neither the id nor any other column enters a score. Without labels every text is kept.
     """
     docs = _rows(docs, id_col, text_col)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
-    first = lambda test: known.where(test).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    marks = F.broadcast(first(F.col("good")).unionAll(first(~F.col("good"))))
-    trusted, corpus = bucket_counts(docs.join(marks, "doc_id", "left").withColumn("trusted", F.coalesce("good", F.lit(False))), buckets)
+    marked = docs.where(_maybe_in(known, "doc_id")(F.col("doc_id"))).join(known, "doc_id")
+    corpus, _ = bucket_counts(docs.withColumn("trusted", F.lit(True)), buckets)
+    trusted, _ = bucket_counts(marked.select("text", F.col("good").alias("trusted")), buckets)
     ratio = ratios(trusted, corpus)
-    seen = _scored(docs.join(marks, "doc_id").select(F.col("good").cast("long").alias("doc_id"), "text"), ratio).where(~failed(F.col("n_words"), F.col("n_repeat_words")))
+    seen = _scored(marked.select(F.col("good").cast("long").alias("doc_id"), "text"), ratio).where(~failed(F.col("n_words"), F.col("n_repeat_words")))
     seen = seen.groupBy(F.col("doc_id").alias("good"), F.greatest(F.least("parts", F.lit(FARTHEST * PARTS)), F.lit(-FARTHEST * PARTS)).alias("parts")).count().collect()
     good, bad = Counter(), Counter()
     for r in seen:

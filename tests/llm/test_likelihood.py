@@ -1,5 +1,6 @@
 """Quality rules against loops and, for the base columns, DuckDB."""
 
+import inspect
 import math
 import random
 import re
@@ -118,3 +119,24 @@ def test_held_out_labels_and_base_columns(spark):
     marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
     held = [r for r in queries.QUERIES["op12_likelihood_ratio"](spark, path).collect() if r.doc_id in marks and zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and not r.base_failed]
     assert sum(r.kept == (marks[r.doc_id] == 1) for r in held) >= 0.97 * len(held) > 50
+
+
+def test_every_label_teaches(spark):
+    """No label is left out, and the filter before the join lets each of them through."""
+    assert "most_labelled" not in inspect.signature(likelihood.fit).parameters
+    n = 90_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', id % 2, ' v') AS text")
+    labels = docs.selectExpr("doc_id", "CAST(1 AS INT) AS quality")
+    model = likelihood.fit(docs, labels, buckets=64)
+    learnt = [i for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2]
+    trusted, corpus = Counter(), Counter()
+    for odd in (0, 1):
+        for b in grams(f"w{odd} v", 64):
+            trusted[b] += sum(i % 2 == odd for i in learnt)
+            corpus[b] += n // 2
+    assert len(learnt) > 40_000
+    assert np.allclose(model.ratio, likelihood.ratios(np.array([trusted[b] for b in range(64)]), np.array([corpus[b] for b in range(64)])))
+    few = docs.where("doc_id % 1000 = 0")
+    test = likelihood._maybe_in(few, "doc_id", 1 << 16)
+    kept = docs.where(test(docs.doc_id))
+    assert few.join(kept, "doc_id", "left_anti").count() == 0 and kept.count() < n // 100
