@@ -96,3 +96,10 @@ def test_query_on_random_texts(spark, tmp_path):
     want, _ = reference(texts)
     got = {r.doc_id: tuple(r)[1:] for r in queries.QUERIES["op13_incidence_products"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(want))
+
+
+def test_split_is_the_cut():
+    rng = random.Random(5)
+    texts = ["", " ", "\n", "a ", " a", "a b", "a\n b", "a \nb", "a  b", "a　 b", "é  b", "a \x1cb", "a\tb c"]
+    texts += ["".join(rng.choice("ab \n\té　x\x1cy ") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    assert [alignment._split(t) for t in texts] == [alignment._CUT.split(t) for t in texts]
