@@ -195,17 +195,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Counts of the corpus over every row of ``docs``, counts of the trusted texts over those that ``labels`` (doc_id, quality) call good, and the threshold from labelled texts
     that pass the base rules (the others fail whatever their score).
 
-    Learns from every labelled id but the held-out ones, which teach nothing; an id labelled both ways counts as bad. The labels meet the texts by a join of the two tables; only texts whose id
-    :func:`_maybe_in` doesn't rule out take part, so that texts without a label aren't shuffled. Neither the id nor any other column enters a score. Without labels every text is kept.
+    Learns from every labelled id but the held-out ones, which teach nothing; an id labelled both ways counts as bad. Only the trusted texts are shuffled, once, to meet their labels; the threshold
+    needs a text's few numbers, which are worked out where the text is read and meet the labels after that. :func:`_maybe_in` keeps most other texts out of both. Both joins sort and merge, also where
+    the labels are few, so that their cost is in proportion to the input at any size. Neither the id nor any other column enters a score. Without labels every text is kept.
     """
     docs = _rows(docs, id_col, text_col)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
-    marked = docs.where(_maybe_in(known, "doc_id")(F.col("doc_id"))).join(known, "doc_id")
+    best = known.where("good").select("doc_id")
     corpus, _ = bucket_counts(docs.withColumn("trusted", F.lit(True)), buckets)
-    trusted, _ = bucket_counts(marked.select("text", F.col("good").alias("trusted")), buckets)
+    trusted, _ = bucket_counts(docs.where(_maybe_in(best, "doc_id")(F.col("doc_id"))).join(best.hint("merge"), "doc_id").select("text", F.lit(True).alias("trusted")), buckets)
     ratio = ratios(trusted, corpus)
-    seen = _scored(marked.select(F.col("good").cast("long").alias("doc_id"), "text"), ratio).where(~failed(F.col("n_words"), F.col("n_repeat_words")))
-    seen = seen.groupBy(F.col("doc_id").alias("good"), F.greatest(F.least("parts", F.lit(FARTHEST * PARTS)), F.lit(-FARTHEST * PARTS)).alias("parts")).count().collect()
+    scored = _scored(docs.where(_maybe_in(known, "doc_id")(F.col("doc_id"))), ratio).where(~failed(F.col("n_words"), F.col("n_repeat_words")))
+    seen = scored.select("doc_id", F.greatest(F.least("parts", F.lit(FARTHEST * PARTS)), F.lit(-FARTHEST * PARTS)).alias("parts")).join(known.hint("merge"), "doc_id").groupBy("good", "parts").count().collect()
     good, bad = Counter(), Counter()
     for r in seen:
         (good if r.good else bad)[r.parts] += r["count"]

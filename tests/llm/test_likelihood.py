@@ -140,3 +140,18 @@ def test_every_label_teaches(spark):
     test = likelihood._maybe_in(few, "doc_id", 1 << 16)
     kept = docs.where(test(docs.doc_id))
     assert few.join(kept, "doc_id", "left_anti").count() == 0 and kept.count() < n // 100
+
+
+def test_only_trusted_texts_meet_labels(spark, monkeypatch):
+    met, counts = [], likelihood.bucket_counts
+
+    def seen(docs, buckets):
+        met.append(sorted((r.text, r.trusted) for r in docs.select("text", "trusted").collect()))
+        return counts(docs, buckets)
+
+    monkeypatch.setattr(likelihood, "bucket_counts", seen)
+    docs = spark.createDataFrame([(i, f"t{i % 20}") for i in range(40)] + [(0, "t0"), (None, "t1")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(20)] + [(1, 0), (3, 1), (77, 1)], "doc_id long, quality int")
+    likelihood.fit(docs, labels, buckets=64)
+    assert met[0] == sorted((f"t{i % 20}", True) for i in [*range(40), 0, 1])
+    assert met[1] == sorted((f"t{i}", True) for i in range(3, 20, 2) if zlib.crc32(str(i).encode()) % 4 != 2)
