@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from ledgerloom.plans import views
+from ledgerloom.session import TASK_ROWS, keep_dealt
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +33,20 @@ def test_joins_deal_by_pair_alone(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     moved = [line for line in shown.getvalue().splitlines() if "Exchange" in line]
     assert moved and all(re.search(r"hashpartitioning\(pair_id#\d+L, \d+\)", line) for line in moved)
+
+
+def test_parts_follow_the_input(spark):
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        keep_dealt(spark, TASK_ROWS * 50 + 1)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "51"
+        keep_dealt(spark, 10)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == own
+        spark.conf.unset("spark.sql.shuffle.partitions")
+        keep_dealt(spark)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        keep_dealt(spark)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "7"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
