@@ -190,7 +190,7 @@ def add_rows(cells: DataFrame, additions: DataFrame, spacers: DataFrame | None =
         F.count_if(F.col("place") == "before").alias("nb"), F.count_if(F.col("place") == "after").alias("na"))
     rows = cells.select(*TABLE, "row_idx").distinct().join(n, [*TABLE, "row_idx"], "left").na.fill(0, ["nb", "na"])
     rows = running_sum(rows, TABLE, "row_idx", F.col("nb") + F.col("na"), "moved", inclusive=False)
-    rows = rows.select(*TABLE, "row_idx", "nb", (F.col("row_idx") + F.col("moved") + F.col("nb")).alias("new_row"))
+    rows = stored(rows.select(*TABLE, "row_idx", "nb", (F.col("row_idx") + F.col("moved") + F.col("nb")).alias("new_row")), "pair_id")
     old = cells.join(rows.drop("nb"), [*TABLE, "row_idx"]).withColumn("row_idx", F.col("new_row")).drop("new_row").withColumn("added", F.lit(False))
     at = F.when(F.col("place") == "after", F.col("new_row") + F.col("nth")).otherwise(F.col("new_row") - F.col("nb") + F.col("nth") - 1)
     new = additions.withColumnRenamed("ref_row", "row_idx").join(rows, [*TABLE, "row_idx"]).join(cells, [*TABLE, "row_idx"])
@@ -227,7 +227,7 @@ def apply_changes(cells: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
 
     ``changes``: CELL columns, type (delete_row, update_values, add_row), value, change_no. Whole change sets, with every type, are in changelog.py.
     """
-    cells, changes = stored(cells), stored(changes)
+    cells, changes = stored(cells, "pair_id"), stored(changes, "pair_id")
     there = cells.select(*TABLE, "row_idx").distinct()
     failed = changes.join(there, [*TABLE, "row_idx"], "left_anti").withColumn("problem", F.lit("no such row"))
     doomed = changes.where("type = 'delete_row'").select(*TABLE, "row_idx").distinct()
@@ -239,10 +239,10 @@ def apply_changes(cells: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
     adds = adds.withColumn("nth", F.row_number().over(Window.partitionBy(*TABLE, "ref_row").orderBy("change_no")))
     rows = there.join(doomed.withColumn("gone", F.lit(1)), [*TABLE, "row_idx"], "left")
     rows = running_sum(rows, TABLE, "row_idx", F.coalesce("gone", F.lit(0)), "before", inclusive=False).where("gone is null")
-    rows = stored(rows.select(*TABLE, "row_idx", (F.col("row_idx") - F.col("before")).alias("new_row")))
-    moved = updated.join(rows, [*TABLE, "row_idx"]).withColumn("row_idx", F.col("new_row")).drop("new_row")
+    rows = stored(rows.select(*TABLE, "row_idx", (F.col("row_idx") - F.col("before")).alias("new_row")), "pair_id")
+    moved = stored(updated.join(rows, [*TABLE, "row_idx"]).withColumn("row_idx", F.col("new_row")).drop("new_row"), "pair_id")
     adds = adds.join(rows.withColumnRenamed("row_idx", "ref_row"), [*TABLE, "ref_row"]).withColumn("ref_row", F.col("new_row")).drop("new_row")
-    return add_rows(moved, adds), failed.unionByName(lost)
+    return add_rows(moved, stored(adds, "pair_id")), failed.unionByName(lost)
 
 
 # --- text --------------------------------------------------------------------
