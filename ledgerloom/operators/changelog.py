@@ -12,7 +12,7 @@ Keys of ``values``: the column (add_row), the row (add_column), row:col (add_tab
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,14 +42,13 @@ def covered(places: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
 
 def numbered(variants: DataFrame, keys: list[str], at: str, order: list[str], out: str) -> DataFrame:
     """``variants`` with their new place from 0 within ``keys``: by anchor ``at``, side (-1, 0, 1) and ``order``. One row of counts an anchor goes through the running sum."""
+    variants = stored(variants, *keys[:1])
     n = lambda side: F.count_if(F.col("side") == side)
     counts = variants.groupBy(*keys, at).agg(n(-1).alias("nb"), n(0).alias("nk"), n(1).alias("na"))
     base = running_sum(counts, keys, at, F.col("nb") + F.col("nk") + F.col("na"), "base", inclusive=False).select(*keys, at, "base", "nb", "nk")
     own = F.row_number().over(Window.partitionBy(*keys, at, "side").orderBy(*order)) - 1
-    kept = variants.where("side = 0").withColumn("local", F.lit(0))
-    added = variants.where("side <> 0").withColumn("local", own)
-    place = F.col("base") + F.when(F.col("side") >= 0, F.col("nb")).otherwise(0) + F.when(F.col("side") > 0, F.col("nk")).otherwise(0) + F.col("local")
-    return kept.unionByName(added).join(base, [*keys, at]).withColumn(out, place.cast("bigint")).drop("local", "base", "nb", "nk")
+    place = F.col("base") + F.when(F.col("side") >= 0, F.col("nb")).otherwise(0) + F.when(F.col("side") > 0, F.col("nk")).otherwise(0) + F.when(F.col("side") != 0, F.col("local")).otherwise(0)
+    return variants.withColumn("local", own).join(base, [*keys, at]).withColumn(out, place.cast("bigint")).drop("local", "base", "nb", "nk")
 
 
 @dataclass(frozen=True)
@@ -62,8 +61,8 @@ class ChangeLog:
 
     @classmethod
     def of(cls, elements: DataFrame, cells: DataFrame, changes: DataFrame) -> ChangeLog:
-        """With inputs written once, as every result reads them several times."""
-        return cls(stored(elements), stored(cells), stored(changes))
+        """With inputs written once, dealt by pair, as every result reads them several times."""
+        return cls(*(stored(df, "pair_id") for df in (elements, cells, changes)))
 
     # --- what the changes address ---
 
@@ -75,9 +74,13 @@ class ChangeLog:
 
     def gone(self) -> DataFrame:
         """Elements (pair_id, pos) that a deleted table or note range covers."""
+        return self._gone
+
+    @cached_property
+    def _gone(self) -> DataFrame:
         one = self._of("delete_table").join(self.elements.where("kind = 'table'").select(*BODY), BODY, "left_semi").select(*BODY, F.col("pos").alias("end_pos"))
         block = self._of("delete_note").where(~self._bad_range()).select(*BODY, "end_pos")
-        return covered(self.elements, one.unionByName(block), ["pair_id"])
+        return stored(covered(self.elements, one.unionByName(block), ["pair_id"]), "pair_id")
 
     def _doomed(self) -> DataFrame:
         return self._of("delete_row").select(*ROW).distinct()
@@ -167,11 +170,11 @@ class ChangeLog:
         A row added beside a deleted one clones it as it was; a cell of an added row within an added column takes the row's text. Clones of tables and notes hold the rows that stay, with their updated texts, and
         not what the same change set adds to their model.
         """
-        cells, doomed = self._cell_texts(), self._doomed()
+        cells, doomed = stored(self._cell_texts(), "pair_id"), self._doomed()
         rows_left = self.cells.select(*ROW).distinct().join(doomed, ROW, "left_anti")
         rows = self._variants(BODY, "row_idx", rows_left, "add_row", "new_row").select(*ROW, F.col("side").alias("row_side"), F.col("values").alias("row_values"), "new_row")
         cols = self._variants(BODY, "col_idx", self.cells.select(*COL).distinct(), "add_column", "new_col").select(*COL, F.col("side").alias("col_side"), F.col("values").alias("col_values"), "new_col")
-        places = self._places()
+        places = stored(self._places(), "pair_id")
         stay = places.where("not added").select("pair_id", F.col("model").alias("pos"), F.col("pos").alias("new_pos"))
         grid = cells.join(stay, BODY).join(rows, ROW).join(cols, COL)
         given = F.coalesce(
