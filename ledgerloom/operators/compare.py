@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.assign import greedy
+from ledgerloom.session import once
 
 # Words that name a statement in a table title or header
 STATEMENT_WORDS = {
@@ -38,8 +39,8 @@ def compare_cells(expected: DataFrame, actual: DataFrame, keys: list[str], toler
     Both: keys, row_idx, col_idx, value (NULL = not numeric, left out).
     """
     at = [*keys, "row_idx", "col_idx"]
-    e = expected.where("value is not null").withColumnRenamed("value", "expected")
-    a = actual.where("value is not null").withColumnRenamed("value", "found")
+    e = once(expected, "value").where("value is not null").withColumnRenamed("value", "expected")
+    a = once(actual, "value").where("value is not null").withColumnRenamed("value", "found")
     j = e.join(a, at, "left")
     verdict = F.when(F.col("found").isNull(), "missing").when(F.abs(F.col("expected") - F.col("found")) > tolerance, "mismatch").otherwise("ok")
     return j.select(*at, "expected", "found", verdict.alias("verdict"))
