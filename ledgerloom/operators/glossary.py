@@ -16,7 +16,7 @@ from ledgerloom.functions.fuzzy import best_fuzzy, sequence_ratio
 from ledgerloom.functions.numbers import DASHES, is_amount_cell, is_number_text
 from ledgerloom.functions.text import bare_title, clean_label, is_english, is_korean, normalize_number, strip
 from ledgerloom.operators.labels import contained_pairs
-from ledgerloom.session import durable
+from ledgerloom.session import durable, once
 
 # Fixed values
 SOURCES = ["ifrs", "title_map", "title_match", "header_match", "value_match"]  # rising priority
@@ -160,9 +160,9 @@ def pairs_by_signature(ko_rows: DataFrame, en_rows: DataFrame) -> DataFrame:
     Rows: pair_id, seq, label, numbers (ordered array).  A signature shared by
     more than three English rows proves nothing; of two or three the first counts.
     """
-    e = en_rows.where(is_english("label") & (F.size("numbers") > 0)).groupBy("pair_id", "numbers").agg(
+    e = once(en_rows.where(is_english("label")), "numbers").where(F.size("numbers") > 0).groupBy("pair_id", "numbers").agg(
         F.min_by("label", "seq").alias("en"), F.count("*").alias("n")).where("n <= 3")
-    k = ko_rows.where(is_korean("label") & (F.size("numbers") > 0))
+    k = once(ko_rows.where(is_korean("label")), "numbers").where(F.size("numbers") > 0)
     j = k.join(e, ["pair_id", "numbers"]).select("pair_id", "seq", clean_label("label").alias("ko"), clean_label("en").alias("en"))
     return j.groupBy("pair_id", "ko").agg(F.max_by("en", "seq").alias("en"))
 
