@@ -11,7 +11,7 @@ from ledgerloom.operators import notes as nt
 from ledgerloom.operators import rows as rw
 from ledgerloom.plans import oracle as o
 from ledgerloom.plans.registry import query
-from ledgerloom.session import stored
+from ledgerloom.session import once, stored
 from ledgerloom.plans.scalars import label_sim, norm_label, source_amount
 
 KEYS = ["pair_id", "tbl"]
@@ -190,9 +190,10 @@ UNION ALL SELECT a.pair_id, a.note_no, a.src_row, a.col, b.col FROM a JOIN b ON
 def _c16(rows, sc, tc):
     k = rows.select("pair_id", "note_no", "src_row", "tpl_table", "tpl_row")
     keys = ["pair_id", "note_no", "src_row"]
-    a = k.join(sc.withColumnRenamed("row_idx", "src_row"), keys).select(*keys, F.col("col_idx").alias("col"), nb.has_amount("text").alias("numeric"))
-    b = k.join(tc.withColumnRenamed("row_idx", "tpl_row"), ["pair_id", "tpl_table", "tpl_row"]).select(
-        *keys, F.col("cell_idx").alias("col"), nb.has_amount("text").alias("numeric"))
+    # told before the join, so that cells without an amount don't reach it
+    told = lambda cells, at, col: once(cells.select(*at, F.col("row_idx"), F.col(col).alias("col"), nb.has_amount("text").alias("numeric")), "numeric")
+    a = k.join(told(sc, ["pair_id", "note_no"], "col_idx").withColumnRenamed("row_idx", "src_row"), keys).select(*keys, "col", "numeric")
+    b = k.join(told(tc, ["pair_id", "tpl_table"], "cell_idx").withColumnRenamed("row_idx", "tpl_row"), ["pair_id", "tpl_table", "tpl_row"]).select(*keys, "col", "numeric")
     periods = k.select(*keys, F.lit(1).cast("bigint").alias("src_col"), F.lit(1).cast("bigint").alias("tpl_col"))
     return rw.align_columns(a, b, keys, periods)
 

@@ -32,6 +32,6 @@ def test_once_keeps_rows_and_columns(spark):
     assert not any("regexp" in c for c in conditions(kept.where("v < 0")))
 
 
-@pytest.mark.parametrize("name", ["c21_compare_cells", "i12_glossary_by_signature", "a24_table_values"])
+@pytest.mark.parametrize("name", ["c21_compare_cells", "i12_glossary_by_signature", "a24_table_values", "c16_align_columns"])
 def test_conditions_hold_no_parser(spark, name):
     assert not [c for c in conditions(entry.queries()[name](spark, SF)) if re.search("regexp_replace|try_cast|format_number", c)]
