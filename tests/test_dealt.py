@@ -50,3 +50,38 @@ def test_parts_follow_the_input(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "7"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", own)
+
+
+def _joins(spark, df):
+    df.collect()
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        df.explain()
+    return re.findall(r"BroadcastHashJoin|SortMergeJoin", shown.getvalue().split("== Initial Plan ==")[0])
+
+
+def test_broadcast_follows_counted_rows(spark, tmp_path):
+    sizes, counted = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    keep_dealt(spark)
+    own = spark.conf.get(sizes)
+    try:
+        spark.conf.set(sizes, "1m")
+        # 1000 times the bytes of its file
+        spark.range(100_000).selectExpr("id % 7 AS k", "repeat('x', 100) AS text").write.parquet(f"{tmp_path}/t")
+        rows = spark.read.parquet(f"{tmp_path}/t")
+        both = lambda: rows.join(rows.withColumnRenamed("text", "other"), "k").limit(3)
+        assert _joins(spark, both()) == ["BroadcastHashJoin"]
+        keep_dealt(spark, TASK_ROWS + 1)
+        assert _joins(spark, both()) == ["SortMergeJoin"]  # neither side's rows are within 1 MB, though both files are
+        assert _joins(spark, rows.join(rows.groupBy("k", "text").count(), ["k", "text"])) == ["BroadcastHashJoin"]
+        keep_dealt(spark)
+        assert spark.conf.get(sizes) == "1m" and spark.conf.get(counted, None) is None
+        spark.conf.set(counted, "5m")
+        keep_dealt(spark, TASK_ROWS + 1)
+        assert spark.conf.get(counted) == "5m"
+        keep_dealt(spark)
+        assert (spark.conf.get(sizes), spark.conf.get(counted)) == ("1m", "5m")
+    finally:
+        keep_dealt(spark)
+        spark.conf.unset(counted)
+        spark.conf.set(sizes, own)
