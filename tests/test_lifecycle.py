@@ -89,6 +89,14 @@ def test_state_is_gone_after_the_timer(own, tmp_path):
     assert {r.key["job_id"] for r in left.where("value.ended is not null").select("key").collect()} == set()
 
 
+def test_waiting_events_share_an_entry(own, tmp_path):
+    rows = [(1, k, T0 + timedelta(seconds=k), "queued") for k in range(50)]
+    stream = streamed(own, rows, "job_id bigint, event_id bigint, ts timestamp, status string", str(tmp_path / "in"), [range(30), range(30, 50)])
+    assert not drained(lifecycle.lifecycle_stream(stream, "1 day"), str(tmp_path / "in"))
+    left = own.read.format("statestore").option("path", f"{tmp_path}/in-cp").option("stateVarName", "pending").load()
+    assert left.count() == 2
+
+
 def test_until_terminal_keeps_all_columns(own, tmp_path):
     kinds = ["log", "progress", "log", "complete", "error"]
     rng = random.Random(2)
